@@ -52,3 +52,9 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     The count stops after max_rows + 1 rows. An unmarked side gets whatever join the planner picks.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are tasks, for work that is heavy a row. Large inputs are left as they are."""
+    n = parallelism(df.sparkSession)
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
