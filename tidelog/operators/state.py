@@ -40,6 +40,12 @@ def rollback_targets(states: DataFrame, keys: list[str], order: str, capacity: i
     return kept.filter(n == F.floor(n)).withColumn("attempt", F.round(n).cast("int")).drop("back")
 
 
+def accepted_checkpoints(states: DataFrame, keys: list[str], offset: str, order: str) -> DataFrame:
+    """States that advance: their offset is above all earlier ones of the same keys (source and server). Null offsets never advance."""
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return states.withColumn("_high", F.max(offset).over(before)).filter(F.col(offset) > F.coalesce("_high", F.lit(-(2**63)))).drop("_high")
+
+
 @dataclass(frozen=True)
 class SourceState:
     """Where a source stands: time and offset of the last published mutation, end of its last transaction."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidelog.plans import problems
+from tidelog.plans import operators, problems
 
-_MODULES = [problems]
+_MODULES = [problems, operators]
 
 
 def queries() -> dict:

@@ -59,8 +59,8 @@ def log_from_events(events: DataFrame) -> DataFrame:
     kind = F.when(i % FILE_EVENTS == 0, "START").when(in_txn == 0, "QUERY").when(in_txn == 1, "TABLE_MAP").when(in_txn == 6, "XID").when((in_txn == 2) & (txn % 5 == 0), "GTID").otherwise(row)
     names = F.array(*[F.lit(t.partition(":")[2]) for t in TABLES])
     user = F.col("user_id")
-    after = F.array(user.cast("string"), F.col("event_type"), F.format_string("%.2f", "value"))
-    before = F.array(F.when(i % 10 == 0, user + 1000).otherwise(user).cast("string"), F.lit("seen"), F.format_string("%.2f", "value"))
+    after = F.array(user.cast("string"), F.col("event_type"), F.floor(F.col("value") * 100).cast("string"))
+    before = F.array(F.when(i % 10 == 0, user + 1000).otherwise(user).cast("string"), F.lit("seen"), F.floor(F.col("value") * 100).cast("string"))
     image = F.struct(F.when(F.col("_kind") != "WRITE", before).alias("before"), F.when(F.col("_kind") != "DELETE", after).alias("after"))
     file_no, position = F.floor(i / FILE_EVENTS) + 1, 4 + (i % FILE_EVENTS) * EVENT_BYTES
     return events.withColumn("_kind", kind).select(
