@@ -1,0 +1,122 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tidelog.functions.positions import position_offset
+from tidelog.schema import ddl, store
+from tidelog.schema.store import SchemaStore, SchemaTracker, Statement
+
+
+def shape(catalog):
+    return {f"{d}.{t}": [f"{c.name} {c.column_type}{' pk' if c.primary_key else ''}" for c in cols] for d, ts in catalog.databases.items() for t, cols in ts.items()}
+
+
+def applied(*statements, database="d"):
+    catalog = ddl.Catalog()
+    for s in statements:
+        catalog = ddl.apply(catalog, s, database)
+    return shape(catalog)
+
+
+CREATE = "CREATE TABLE IF NOT EXISTS `t` (\n `id` int(11) unsigned NOT NULL AUTO_INCREMENT, -- key\n name varchar(20) CHARSET ascii DEFAULT 'a,b(', price decimal(9, 4), PRIMARY KEY (`id`), UNIQUE KEY u (name), KEY k (price)) ENGINE=InnoDB"
+
+
+@pytest.mark.parametrize(("statements", "want"), [
+    ([CREATE], {"d.t": ["id int(11) unsigned pk", "name varchar(20)", "price decimal(9,4)"]}),
+    ([CREATE, "CREATE TABLE u LIKE t"], {"d.t": ["id int(11) unsigned pk", "name varchar(20)", "price decimal(9,4)"], "d.u": ["id int(11) unsigned pk", "name varchar(20)", "price decimal(9,4)"]}),
+    (["create table t (a bigint primary key, b double precision)"], {"d.t": ["a bigint pk", "b double"]}),
+    (["create table t (a int unique key, b int key)"], {"d.t": ["a int", "b int pk"]}),
+    (["create table t (a int)", "alter table t add b int first, add column c text after a, add (e int, f date), add index i (a), drop index j, add primary key (c)"], {"d.t": ["b int", "a int", "c text pk", "e int", "f date"]}),
+    (["create table t (a int primary key, b int, c int)", "alter table t drop b, change column a x bigint, modify c varchar(3) first"], {"d.t": ["c varchar(3)", "x bigint pk"]}),
+    (["create table t (a int, b int)", "alter table t rename column a to z, rename to e.u"], {"e.u": ["z int", "b int"]}),
+    (["create table t (a int)", "create table u (a int)", "rename table t to x, u to e.t"], {"d.x": ["a int"], "e.t": ["a int"]}),
+    (["create table t (a int)", "create table u (a int)", "drop table if exists t, u, v"], {}),
+    (["create table t (a int)", "create index i on t (a)", "truncate t"], {"d.t": ["a int"]}),
+    (["create table t (a int)", "drop database d"], {}),
+])
+def test_statements_are_applied(statements, want):
+    assert applied(*statements) == want
+
+
+@pytest.mark.parametrize("statement", ["CREATE TABLE t AS SELECT 1", "CREATE TABLE t (a int) SELECT a FROM u"])
+def test_what_cannot_be_followed_is_said(statement):
+    with pytest.raises(ddl.UnsupportedStatement):
+        applied(statement)
+
+
+@pytest.mark.parametrize(("sql", "want"), [
+    ("create table `g`.`_new` (\n  `a` int,\n  PRIMARY KEY (`a`))", "create table `source/g`.`_new` (\n  `a` int,\n  PRIMARY KEY (`a`))"),
+    ("CREATE TABLE t (\n`id` int)", "CREATE TABLE t (\n`id` int)"),
+    ("CREATE TABLE IF NOT EXISTS my_db.`t` (a int)", "CREATE TABLE IF NOT EXISTS `source/my_db`.`t` (a int)"),
+    ("ALTER TABLE t RENAME TO `tmp`.`u`;", "ALTER TABLE t RENAME TO `source/tmp`.`u`;"), ("ALTER TABLE a.b DROP INDEX i", "ALTER TABLE `source/a`.`b` DROP INDEX i"),
+    ("RENAME TABLE p.2017_r to tmp.2017_r", "RENAME TABLE `source/p`.`2017_r` to `source/tmp`.`2017_r`"),
+    ("RENAME TABLE `t` TO n, s.t TO `o`.u", "RENAME TABLE `t` TO n, `source/s`.`t` TO `source/o`.`u`"),
+    ("DROP TABLE a, `b`, c.d, e.`f`, `g`.h", "DROP TABLE a, `b`, `source/c`.`d`, `source/e`.`f`, `source/g`.`h`"),
+    ("DROP TABLE ```x``y:@`.`D..``t``s`", "DROP TABLE `source/``x``y:@`.`D..``t``s`"), ("CREATE DATABASE n DEFAULT CHARSET=utf8", "CREATE DATABASE `source/n` DEFAULT CHARSET=utf8"),
+    ("CREATE SCHEMA `n``s`", "CREATE SCHEMA `source/n``s`"), ("DROP SCHEMA IF EXISTS o", "DROP SCHEMA IF EXISTS `source/o`"), ("CREATE INDEX i ON l (id)", "CREATE INDEX i ON l (id)"),
+    ("CREATE UNIQUE INDEX u ON `d`.`t` (`c`, `e`)", "CREATE UNIQUE INDEX u ON `source/d`.`t` (`c`, `e`)"), ("DROP INDEX `i` ON `d`.`t`;", "DROP INDEX `i` ON `source/d`.`t`;"), ("GRANT ALL ON d.t", "GRANT ALL ON d.t"),
+])
+def test_prefix_is_put_before_databases(sql, want):
+    assert ddl.with_prefix(sql, "source") == want
+
+
+def tracker():
+    t = SchemaTracker()
+    cat = ddl.Catalog({"db1": {"table1": [ddl.Column("id", "int", "int")], "table2": [ddl.Column("id", "int", "int")]}, "db2": {"table3": [ddl.Column("id", "int", "int")]}, "mysql": {"user": [ddl.Column("u", "int", "int")]}})
+    assert len(t.bootstrap(cat, "bin.000001:4:4")) == 3
+    return t
+
+
+@pytest.mark.parametrize(("sql", "database", "want"), [
+    ("CREATE TABLE table123 (uid INT)", "db1", [("db1", "table123", ["uid"])]), ("DROP TABLE db1.table2", "x", [("db1", "table2", [])]),
+    ("ALTER TABLE db1.table1 ADD account VARCHAR(255)", "sys", [("db1", "table1", ["id", "account"])]), ("RENAME TABLE db2.table3 TO db2.table4", "db2", [("db2", "table3", []), ("db2", "table4", ["id"])]),
+    ("CREATE DATABASE db3", "db3", [("db3", None, [])]), ("DROP DATABASE db1", "db1", [("db1", "table1", []), ("db1", "table2", [])]), ("CREATE INDEX i ON table1 (id)", "db1", [("db1", None, [])]),
+    ("INSERT INTO t", "db1", []), ("GRANT ALL", "db1", []), ("ALTER TABLE missing ADD x int", "db1", [("db1", None, [])]),
+])
+def test_statements_become_history(sql, database, want):
+    t = tracker()
+    s = Statement(sql, database, "bin.000002:7:9", gtid="u:1")
+    assert [(r["database"], r["table_name"], [c["name"] for c in r["columns"]]) for r in t.process(s)] == want
+    assert t.process(s) == []  # processed before
+    assert SchemaTracker(t.rows).current.databases == t.current.databases
+    assert SchemaTracker(t.rows, enabled=False).process(Statement("DROP TABLE db2.table3", "db2", "bin.000009:1:1")) == []
+
+
+HISTORY = [(1, "table1", "bin.001394:6:1", True), (2, "table2", "bin.001394:78333:1", True), (3, "table1", "bin.001402:400:1", True), (4, None, "bin.001403:200:1", False), (5, "table1", "bin.001403:890901:1", False)]
+
+
+def history(spark):
+    made = [(i, "db1", t, p, ["c"] if full else []) for i, t, p, full in HISTORY]
+    return spark.createDataFrame(made, "id long, database string, table_name string, position string, columns array<string>").withColumn("at", position_offset("position"))
+
+
+def at(no, place):
+    return (no << 32) + place
+
+
+@pytest.mark.parametrize(("no", "place", "ids"), [(1399, 100, {1, 2}), (1403, 400, {3, 2}), (1444, 1100, {2}), (1, 1, set())])
+def test_schemas_until_a_position(spark, no, place, ids):
+    found = store.until(history(spark), F.col("at") > at(no, place), ["database", "table_name"])
+    assert {r.id for r in found.filter(F.size("columns") > 0).collect()} == ids
+
+
+def test_reading_stops_at_the_first_row_beyond(spark):
+    late = history(spark).withColumn("at", F.when(F.col("id") == 1, at(9999, 1)).otherwise(F.col("at")))
+    assert store.until(late, F.col("at") > at(1444, 1), ["database", "table_name"]).count() == 0
+
+
+@pytest.mark.parametrize(("no", "place", "ids"), [(1234, 1234, set()), (1394, 20, {1}), (1400, 20, {1}), (1403, 100, {1, 3}), (1403, 500, {1, 3, 4}), (2000, 500, {1, 3, 4, 5})])
+def test_compress(spark, no, place, ids):
+    gone = store.rows_to_delete(history(spark), F.col("at") < at(no, place), ["database", "table_name"], "table_name", "columns")
+    assert {r.id for r in gone.collect()} == ids
+
+
+def test_store_on_disk(spark, tmp_path):
+    t = tracker()
+    t.process(Statement("ALTER TABLE table1 ADD x int", "db1", "bin.000002:7:9", gtid="u:1"))
+    s = SchemaStore(spark, str(tmp_path / "history"))
+    s.append(t.to_df(spark))
+    assert s.read().count() == 4 and s.by_gtid("u:1").count() == 1 and s.at("bin.000001:4:4").count() == 3
+    small = s.compress(position_offset("position") < at(3, 0), str(tmp_path / "small"))
+    assert sorted(r.id for r in small.read().collect()) == [2, 3, 4]
+    moved = s.archive()
+    assert spark.read.parquet(moved).count() == 4 and not (tmp_path / "history").exists()

@@ -77,8 +77,8 @@ class SchemaTracker:
     def bootstrap(self, catalog: ddl.Catalog, position: str, server_uuid: str | None = None, gtid_set: str | None = None) -> list[dict]:
         """First rows of a history: all tables as they are now, at the earliest position; the server's own databases are left out."""
         now = int(time.time() * 1000)
-        self.shadow = catalog.copy()
-        return [self._put(Statement("", d, position, now, server_uuid, gtid_set), d, t, columns) for d, tables in sorted(catalog.databases.items()) if d not in SYSTEM_DATABASES for t, columns in sorted(tables.items())]
+        self.shadow = ddl.Catalog({d: tables for d, tables in catalog.copy().databases.items() if d not in SYSTEM_DATABASES})
+        return [self._put(Statement("", d, position, now, server_uuid, gtid_set), d, t, columns) for d, tables in sorted(self.shadow.databases.items()) for t, columns in sorted(tables.items())]
 
     def process(self, s: Statement) -> list[dict]:
         """Rows that a statement adds to the history."""
