@@ -45,7 +45,7 @@ class CopyStore:
         w = Window.partitionBy("_hash", *self.identity, "_run").orderBy(*self.order)
         kept = rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
         name = f"tidelog_copies_{uuid.uuid4().hex}"
-        key = run if isinstance(run, str) else "many"
+        key = run if isinstance(run, str) else f"many-{len(self.tables)}"
         (
             kept.repartition(self.buckets, "_hash").sortWithinPartitions("_run", "_hash", *self.identity, *self.order)
             .write.mode("overwrite").format("parquet").option("path", f"{self.path}/runs/{key}")
@@ -66,6 +66,12 @@ class CopyStore:
         w = Window.partitionBy("_hash", *self.identity).orderBy(*self.order)
         return merged.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(*self.columns)
 
+    def close(self) -> None:
+        """Take the runs' tables out of the catalog; their files stay. What compact() returned must have been computed by then."""
+        for name in self.tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables = {}
+
 
 def batches_by(df: DataFrame, column: str, runs: int) -> Column:
     """Name of one of `runs` runs of about equal ranges of an integer column; null rows and an empty df have run 0."""
@@ -80,7 +86,8 @@ def repeated_deliveries(df: DataFrame, identity: list[str], order: list[str], de
     """(first copies, repeated deliveries) through a CopyStore.
 
     delivery must be unique; it is also the last tie-break if order holds it. Repeats are all rows whose delivery is not
-    a first copy's: an anti-join on the unique delivery, which cannot be uneven.
+    a first copy's: an anti-join on the unique delivery, which cannot be uneven. The store's tables stay in the session's
+    catalog (in memory, unless the cluster has a metastore), as the result reads them.
     """
     store = CopyStore(df.sparkSession, identity, order, [delivery])
     store.upsert(df, batches_by(df, batch, runs))

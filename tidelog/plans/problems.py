@@ -209,8 +209,8 @@ q as (
     string_split(regexp_replace(regexp_replace(coalesce(sql_text, ''), '/\\*.*?\\*/', '', 'gs'), '[`;]', '', 'g'), ',') as clauses
   from p where len(prev) > 0 and len(cur) > 0),
 said as (
-  select schema_id, a, b, regexp_extract(lower(trim(regexp_replace(c, '(?i)^\\s*alter\\s+table\\s+\\S+', ''))),
-    '^(?:change(?: column)?|rename column)\\s+(\\w+)\\s+(?:to\\s+)?(\\w+)', ['old', 'new']) as r from (select schema_id, a, b, unnest(clauses) as c from q)),
+  select schema_id, a, b, regexp_extract(lower(regexp_replace(regexp_replace(c, '(?i)^\\s*alter\\s+table\\s+\\S+', ''), '^\\s+', '')),
+    '^(?:change(?:\\s+column)?|rename\\s+column)\\s+(\\w+)\\s+(?:to\\s+)?(\\w+)', ['old', 'new']) as r from (select schema_id, a, b, unnest(clauses) as c from q)),
 ren as (
   select distinct schema_id, r.old as o, r.new as n from said where r.old <> '' and r.old <> r.new
     and list_contains(list_transform(a, lambda x: x.n), r.old) and list_contains(list_transform(b, lambda x: x.n), r.new)),
