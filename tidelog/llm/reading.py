@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.text import mostly_cjk, sentences, words
+from tidelog.llm.text import mostly_cjk, sentences
 from tidelog.session import small_side, spread_out
 
 GRADES = (1, 2, 3, 4, 5)
@@ -59,31 +59,29 @@ class ReadingModel:
     votes: dict[str, dict[str, float]]
     cuts: list[float]
 
-    def language(self, text: str) -> str:
+    def language(self, split: list[list[str]]) -> str:
+        """Language that the words of the sentences vote for; the empty text if none is known."""
         score: Counter = Counter()
-        for w in words(text):
+        for w, n in Counter(w for s in split for w in s).items():
             for lang, share in self.votes.get(w, {}).items():
-                score[lang] += share
+                score[lang] += n * share
         return max(score, key=lambda x: (score[x], x)) if score else ""
 
-    def score(self, text: str | None) -> float | None:
-        """Median over sentences of the median acquisition grade of a sentence's known words; null if none is known."""
+    def score(self, text: str | None) -> tuple[float | None, str]:
+        """Median over sentences of the median acquisition grade of a sentence's known words, and the language; null if none is known."""
         if not text or mostly_cjk(text):
-            return None
-        known = self.grades.get(self.language(text), {})
-        found = []
-        for s in sentences(text):
-            grades = [known[u] for u in units(s) if u in known]
-            if len(grades) >= KNOWN_WORDS:
-                found.append(median(grades))
-        if not found:
-            grades = [known[u] for s in sentences(text) for u in units(s) if u in known]
-            return median(grades) if grades else None
-        return median(found)
-
-    def level(self, text: str | None) -> tuple[int | None, float | None]:
-        s = self.score(text)
-        return (None, None) if s is None else (1 + bisect.bisect_right(self.cuts, s), s)
+            return None, ""
+        split = sentences(text)
+        language = self.language(split)
+        known = self.grades.get(language, {})
+        graded = [[known[u] for u in units(s) if u in known] for s in split]
+        found = [median(g) for g in graded if len(g) >= KNOWN_WORDS] or [g for some in graded for g in some]
+        return (median(found) if found else None), language
+
+    def level(self, text: str | None) -> tuple[int | None, float | None, str | None]:
+        """Level, score and language of a text; all null if it has no known words."""
+        s, language = self.score(text)
+        return (None, None, None) if s is None else (1 + bisect.bisect_right(self.cuts, s), s, language)
 
 
 def calibrate(scored: list[tuple[float, int]]) -> list[float]:
@@ -162,7 +160,7 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
     def scores(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"score": [shared.value.score(t) for t in f["t"]], "grade": f["grade"]}).dropna().astype({"score": float})
+            yield pd.DataFrame({"score": [shared.value.score(t)[0] for t in f["t"]], "grade": f["grade"]}).dropna().astype({"score": float})
 
     model.cuts = calibrate([(r.score, r.grade) for r in spread_out(sample).mapInPandas(scores, "score double, grade int").collect()])  # at most fit_docs rows
     return model
@@ -178,8 +176,8 @@ def reading_levels(documents: DataFrame, model: ReadingModel, doc_id: str = "doc
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             found = [shared.value.level(t if isinstance(t, str) else None) for t in f["t"]]
-            langs = [shared.value.language(t) if isinstance(t, str) and lv is not None else None for t, (lv, _) in zip(f["t"], found)]
-            yield pd.DataFrame({"d": f["d"], "level": pd.array([lv for lv, _ in found], dtype="Int32"), "score": pd.array([s for _, s in found], dtype="Float64"), "language": langs})
+            level, score, language = ([x[i] for x in found] for i in range(3))
+            yield pd.DataFrame({"d": f["d"], "level": pd.array(level, dtype="Int32"), "score": pd.array(score, dtype="Float64"), "language": language})
 
     lean = spread_out(documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")))
     return lean.mapInPandas(run, f"d {dict(documents.dtypes)[doc_id]}, level int, score double, language string").withColumnRenamed("d", doc_id)
