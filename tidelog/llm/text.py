@@ -8,7 +8,7 @@ import unicodedata
 
 # Characters that UTF-8 continuation bytes turn into when read as Windows-1252.
 _TAIL = "[\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
-_BROKEN = re.compile(f"[ÂÃÄÅ]{_TAIL}|â{_TAIL}{{2}}")
+_BROKEN = re.compile(f"[ÂÃÄÅã]{_TAIL}|â{_TAIL}{{2}}")
 _TAG = re.compile(r"<[^<>]{0,200}>")
 _WORD = re.compile(r"[^\W_]+")
 _END = re.compile(r"[.!?;。！？]+[\s\"'”’)»]*|\n+|(?:<br\s*/?>)+", re.IGNORECASE)
@@ -16,9 +16,10 @@ _CJK = re.compile("[぀-ヿ㐀-鿿ｦ-ﾟ]")
 
 
 def _whole(m: re.Match) -> str:
+    broken = m[0].replace("ã", "Ã")  # put in lower case after it broke
     for code in ("cp1252", "latin-1"):
         try:
-            return m[0].encode(code).decode("utf-8")
+            return broken.encode(code).decode("utf-8")
         except UnicodeError:
             pass
     return m[0]
@@ -30,7 +31,7 @@ def clean(text: str | None) -> str:
         return ""
     if "&" in text:
         text = html.unescape(html.unescape(text))
-    if "Ã" in text or "Â" in text or "â" in text or "Å" in text or "Ä" in text:
+    if not text.isascii():
         text = _BROKEN.sub(_whole, text)
     return _TAG.sub(" ", text) if "<" in text else text
 
