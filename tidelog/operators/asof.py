@@ -15,14 +15,13 @@ from tidelog.operators.skew import OrderPlan, plan_order
 def carry_in(rows: DataFrame, keys: list[str], order: list[Column], value: Column, plan: OrderPlan) -> DataFrame:
     """Last value before each range of cut entities: (keys, _shard, _value).
 
-    rows has _shard. One value a range is kept by a map-side aggregate, so an entity has at most RANGES of them here.
+    rows has _shard. One value a range is kept by a map-side aggregate; then each entity has one row a range here.
     """
     last = rows.filter(plan.is_split()).groupBy(*keys, "_shard").agg(F.max_by(value, F.struct(*order)).alias("_value"))
-    by_key = last.groupBy(*keys).agg(F.collect_list(F.struct("_shard", "_value")).alias("_all"))
-    each = by_key.select(*keys, "_all", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(plan._cuts())))).alias("_shard"))
-    before = F.filter("_all", lambda x: x["_shard"] < F.col("_shard"))
-    latest = F.reduce(before, F.get(before, F.lit(0)), lambda a, x: F.when(x["_shard"] > a["_shard"], x).otherwise(a))
-    return each.select(*keys, "_shard", latest["_value"].alias("_value")).filter(F.col("_value").isNotNull())
+    spine = last.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.size(plan._cuts()))).alias("_shard"))
+    ranges = last.unionByName(spine, allowMissingColumns=True).groupBy(*keys, "_shard").agg(F.first("_value", ignorenulls=True).alias("_value"))
+    before = Window.partitionBy(*keys).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    return ranges.withColumn("_value", F.last("_value", ignorenulls=True).over(before)).filter(F.col("_value").isNotNull())
 
 
 def asof_join(events: DataFrame, versions: DataFrame, keys: list[str], order: list[str], payload: list[str], hint: Column, latest: list[Column] | None = None, into: str = "version", plan: OrderPlan | None = None) -> DataFrame:

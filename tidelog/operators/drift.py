@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,8 +145,8 @@ def lineage(versions: DataFrame, keys: list[str], order: list[str], version: str
 
     def run(batches):
         rows = (row[: len(keys) + 3] for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
-        out = list(_lineages(rows, len(keys)))
-        if out:
+        found = _lineages(rows, len(keys))
+        while out := list(islice(found, 5000)):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
     return lean.repartition(*keys).sortWithinPartitions(*keys, *[f"_o{i}" for i in range(len(order))]).mapInArrow(run, schema)

@@ -73,7 +73,7 @@ def _joined(runs: DataFrame, key: list[str], order: str, follows: Column) -> Dat
 def _across_ranges(pieces: DataFrame, numbered: DataFrame, keys: list[str], time: str, plan: OrderPlan) -> DataFrame:
     """Fill in the ends of runs that reach a range's end, and join those that go on in the next range."""
     ranges = numbered.filter(plan.is_split()).groupBy(*keys, "_shard").agg(F.count("*").alias("_len"), F.min(time).alias("_first"))
-    w = Window.partitionBy(*keys).orderBy("_shard")  # at most RANGES rows an entity
+    w = Window.partitionBy(*keys).orderBy("_shard")  # one row a range
     ranges = ranges.withColumns({"_index": F.row_number().over(w), "_following": F.lead("_first").over(w)})
     same = [pieces[k].eqNullSafe(ranges[k]) for k in [*keys, "_shard"]]
     cond = same[0]

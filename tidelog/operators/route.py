@@ -9,11 +9,13 @@ from tidelog.functions.keys import pool_member
 
 
 def to_pool(mutations: DataFrame, key: str, size: int, order: list[str], source: str = "source_id") -> DataFrame:
-    """Add member; rows of a member lie in one partition a source, in order. One shuffle; a member's rows are never merged in memory.
+    """Add member, and lay the rows out by source, member and order.
 
-    Null keys go to member 0.
+    Range partitions: a member's rows follow each other in order, and a member with many rows spans several partitions,
+    which follow each other too. Null keys go to member 0; rows of equal order keep no order among themselves.
     """
-    return mutations.withColumn("member", F.coalesce(pool_member(key, size), F.lit(0))).repartition(source, "member").sortWithinPartitions(source, "member", *order)
+    by = [source, "member", *order]
+    return mutations.withColumn("member", F.coalesce(pool_member(key, size), F.lit(0))).repartitionByRange(*by).sortWithinPartitions(*by)
 
 
 def pool_checkpoint(published: DataFrame, members: DataFrame, member: str = "member", offset: str = "offset") -> DataFrame:

@@ -1,6 +1,7 @@
 """Balanced work for keys of very uneven size.
 
-Two plans, both made from one histogram of at most SLOTS hash slots (so what reaches the driver has a fixed bound):
+Two plans, both made from one histogram of hash slots, SLOTS or four a task (so what reaches the driver has a bound that
+does not depend on the data):
 
 * FragmentPlan (order does not matter): slots are packed onto tasks, largest first; a slot with more rows than a task
   should have is split into proportionate fragments, and the matching side of a join is replicated to just those
@@ -26,7 +27,7 @@ from tidelog.session import parallelism
 SLOTS = 4096
 #: A task is not made smaller than this many rows.
 MIN_TASK_ROWS = 20_000
-#: Quantiles kept for a slot, thus the most ranges that one slot is cut into.
+#: Slots that need more ranges than this get quantiles of their own fineness.
 RANGES = 64
 
 
@@ -68,12 +69,13 @@ class FragmentPlan:
         return F.array_distinct(F.slice(_literal(self.owners, "array<int>"), self._at(self.first, slot) + 1, self._at(self.count, slot)))
 
 
-def plan_fragments(df: DataFrame, keys: list[str], tasks: int | None = None, slots: int = SLOTS, min_task_rows: int = MIN_TASK_ROWS) -> FragmentPlan:
+def plan_fragments(df: DataFrame, keys: list[str], tasks: int | None = None, slots: int | None = None, min_task_rows: int = MIN_TASK_ROWS) -> FragmentPlan:
     """Count rows by slot, split heavy slots in proportion, then pack fragments onto tasks (longest first).
 
     An empty df gives one fragment a slot, spread over the tasks.
     """
     tasks = tasks or parallelism(df.sparkSession)
+    slots = slots or max(SLOTS, 4 * tasks)
     loads = [0] * slots
     for slot, n in df.groupBy(slot_of(keys, slots).alias("slot")).count().collect():  # at most `slots` rows
         loads[slot] = n
@@ -144,21 +146,25 @@ class OrderPlan:
         return F.size(self._cuts()) > 0 if any(self.cuts) else F.lit(False)
 
 
-def plan_order(df: DataFrame, keys: list[str], hint: Column, tasks: int | None = None, slots: int = SLOTS, min_task_rows: int = MIN_TASK_ROWS) -> OrderPlan:
+def plan_order(df: DataFrame, keys: list[str], hint: Column, tasks: int | None = None, slots: int | None = None, min_task_rows: int = MIN_TASK_ROWS) -> OrderPlan:
     """Cut slots with more rows than a task should have at quantiles of hint, a double that never decreases in the order.
 
-    Quantiles are approximate; they decide the balance only. An empty df or one of even keys gives no cuts.
+    A slot gets as many ranges as it has tasks' worth of rows. Quantiles are approximate; they decide the balance only.
+    An empty df or one of even keys gives no cuts.
     """
     tasks = tasks or parallelism(df.sparkSession)
+    slots = slots or max(SLOTS, 4 * tasks)
     loads = {s: n for s, n in df.groupBy(slot_of(keys, slots).alias("slot")).count().collect()}  # at most `slots` rows
     target = max(sum(loads.values()) // tasks, min_task_rows, 1)
-    heavy = sorted(s for s, n in loads.items() if n > target)
+    ranges = {s: -(-n // target) for s, n in loads.items() if n > target}  # they add up to twice `tasks` at most
     cuts: list[list[float]] = [[] for _ in range(slots)]
-    if heavy:
-        at = [i / RANGES for i in range(1, RANGES)]
-        wanted = F.array_contains(_literal(heavy, "array<int>"), slot_of(keys, slots))
-        found = df.filter(wanted).groupBy(slot_of(keys, slots).alias("slot")).agg(F.percentile_approx(hint, at, 1000).alias("q"))
-        for slot, q in found.collect():  # at most `tasks` heavy slots
-            n = min(RANGES, -(-loads[slot] // target))
-            cuts[slot] = sorted({q[round(i * RANGES / n) - 1] for i in range(1, n)}) if q else []
+    for some in ({s: n for s, n in ranges.items() if n <= RANGES}, {s: n for s, n in ranges.items() if n > RANGES}):
+        if not some:
+            continue
+        fine = max(some.values())
+        slot = slot_of(keys, slots)
+        wanted = F.array_contains(_literal(sorted(some), "array<int>"), slot)
+        found = df.filter(wanted).groupBy(slot.alias("slot")).agg(F.percentile_approx(hint, [i / fine for i in range(1, fine)], max(1000, 10 * fine)).alias("q"))
+        for s, q in found.collect():  # one row a heavy slot
+            cuts[s] = sorted({q[max(1, round(i * fine / some[s])) - 1] for i in range(1, some[s])}) if q else []
     return OrderPlan(tuple(keys), cuts)
