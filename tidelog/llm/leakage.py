@@ -20,6 +20,8 @@ LEAST_WORDS, ALTERED = 20, 0.1
 EMBEDDINGS, SAMPLES, SYMBOLS = 4, 8, 4
 #: Items of one index. More items are searched for block by block, each with its own pass over the texts.
 BLOCK_ITEMS = 5_000
+#: Windows, and pairs of windows, that are looked at together.
+CHUNK = 10_000
 _SEED = 20_240_101
 
 
@@ -41,10 +43,13 @@ class PassageIndex:
     def __init__(self, ids: list, texts: list[str | None], width: int = LEAST_WORDS):
         self.width = width
         self.edits = int(width * ALTERED)
-        kept = [(i, w) for i, t in zip(ids, texts) if len(w := words(t)) >= width]
-        self.ids = [i for i, _ in kept]
-        self.vocabulary = {w: xxhash.xxh3_64_intdigest(w) | 1 for _, ws in kept for w in ws}
-        self.items = [np.array([self.vocabulary[w] for w in ws], dtype=np.uint64) for _, ws in kept]
+        same: dict[tuple, list] = {}  # items of the same words are one here
+        for i, t in zip(ids, texts):
+            if len(w := words(t)) >= width:
+                same.setdefault(tuple(w), []).append(i)
+        self.ids = list(same.values())
+        self.vocabulary = {w: xxhash.xxh3_64_intdigest(w) | 1 for ws in same for w in ws}
+        self.items = [np.array([self.vocabulary[w] for w in ws], dtype=np.uint64) for ws in same]
         rng = np.random.default_rng(_SEED)
         self.steps = 2 * width
         self.bits = rng.integers(0, 2**63, (EMBEDDINGS, self.steps), dtype=np.uint64)
@@ -104,27 +109,33 @@ class PassageIndex:
         starts = np.flatnonzero(unknown[self.width :] - unknown[: -self.width] <= self.edits)
         if not len(starts):
             return {}
-        windows = np.lib.stride_tricks.sliding_window_view(known, self.width)[starts]
-        pairs = self.candidates(windows)
+        every = np.lib.stride_tricks.sliding_window_view(known, self.width)
         verified: dict = {}
-        tried = set()
-        for some in np.array_split(pairs, -(-len(pairs) // 20_000)) if len(pairs) else []:
-            a, b = windows[some[:, 0]], self.windows[some[:, 1]]
-            shared = (b[:, :, None] == a[:, None, :]).any(axis=2).sum(axis=1)  # at most `edits` of an item's words may be missing
-            for left, right in some[shared >= self.width - self.edits]:
-                n = int(self.owner[right])
-                shift = int(starts[left] - self.at[right])
-                if n in verified or (n, shift) in tried:
-                    continue
-                tried.add((n, shift))
-                item = self.items[n]
-                slack = int(len(item) * ALTERED) + 1
-                low = max(0, shift - slack)
-                hit = quotation(item.tolist(), known[low : shift + len(item) + slack].tolist(), self.width)
-                if hit:
-                    verified[n] = (low + hit[0], hit[1], hit[2])
+        tried: set = set()
+        for first in range(0, len(starts), CHUNK):
+            here = starts[first : first + CHUNK]
+            windows = every[here]
+            pairs = self.candidates(windows)
+            for low in range(0, len(pairs), CHUNK):
+                some = pairs[low : low + CHUNK]
+                a, b = windows[some[:, 0]], self.windows[some[:, 1]]
+                shared = (b[:, :, None] == a[:, None, :]).any(axis=2).sum(axis=1)  # at most `edits` of an item's words may be missing
+                for left, right in some[shared >= self.width - self.edits]:
+                    self._verify(int(self.owner[right]), int(here[left] - self.at[right]), known, verified, tried)
         return verified
 
+    def _verify(self, n: int, shift: int, known: np.ndarray, verified: dict, tried: set) -> None:
+        """Look for item n in the text where its first word would stand at shift."""
+        if n in verified or (n, shift) in tried:
+            return
+        tried.add((n, shift))
+        item = self.items[n]
+        slack = int(len(item) * ALTERED) + 1
+        low = max(0, shift - slack)
+        hit = quotation(item.tolist(), known[low : shift + len(item) + slack].tolist(), self.width)
+        if hit:
+            verified[n] = (low + hit[0], hit[1], hit[2])
+
 
 def quotation(item: list[int], region: list[int], least: int, altered: float = ALTERED) -> tuple[int, int, int] | None:
     """A stretch of at least `least` words of item that stands in region, beginning and ending with a true word, with at
@@ -190,7 +201,7 @@ def leaked(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_
 
         def run(frames: Iterable[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for f in frames:
-                out = [(d, index.value.ids[n], *hit) for d, t in zip(f["d"], f["t"]) for n, hit in index.value.search(t).items()]
+                out = [(d, i, *hit) for d, t in zip(f["d"], f["t"]) for n, hit in index.value.search(t).items() for i in index.value.ids[n]]
                 yield pd.DataFrame(out, columns=[doc_id, item_id, "at_word", "n_words", "n_edits"])
 
         part = lean.mapInPandas(run, schema)
