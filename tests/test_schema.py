@@ -118,5 +118,9 @@ def test_store_on_disk(spark, tmp_path):
     assert s.read().count() == 4 and s.by_gtid("u:1").count() == 1 and s.at("bin.000001:4:4").count() == 3
     small = s.compress(position_offset("position") < at(3, 0), str(tmp_path / "small"))
     assert sorted(r.id for r in small.read().collect()) == [2, 3, 4]
+    again = SchemaTracker.initialize(s.read(), position_offset("position") > at(1, 9), ddl.Catalog(), "bin.000001:4:4")
+    assert len(again.rows) == 3 and again.current.databases["db1"]["table1"] == [ddl.Column("id", "int", "int")]
+    first = SchemaTracker.initialize(None, F.lit(False), ddl.Catalog({"d": {"t": [ddl.Column("a", "int", "int")]}}), "bin.000001:4:4")
+    assert [(r["table_name"], r["position"]) for r in first.rows] == [("t", "bin.000001:4:4")]
     moved = s.archive()
     assert spark.read.parquet(moved).count() == 4 and not (tmp_path / "history").exists()

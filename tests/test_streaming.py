@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidelog.config import Config, SourceConfig
 from tidelog.operators.enrich import table_maps, transaction_context
+from tidelog.operators.validate import event_order_violations
 from tidelog.sources.log import log_from_events, read_log
 from tidelog.sources.metadata import Server, base_tables, table_columns, user_databases
 from tidelog.sources.stream import LogSource
@@ -81,12 +82,13 @@ def batch(spark, *rows):
 
 def test_destination_publishes_and_remembers(spark):
     kept = []
-    d = sink.Destination(sink.memory_sink(kept), lambda df: df.select("offset"), pool_size=4)
+    late = lambda df: event_order_violations(df, "ts_ms", ["source_id"])
+    d = sink.Destination(sink.memory_sink(kept), lambda df: df.select("offset"), pool_size=4, validators={"out.of.order": late})
     d.send(batch(spark, (1, 1, "4", "s")).limit(0), 0)
     assert kept == []
-    d.send(batch(spark, (1, 1, "4", "s"), (5, 2, "6", "s"), (3, 2, "4", "s")), 1)
+    d.send(batch(spark, (1, 1, "4", "s"), (5, 2, "6", "s"), (3, 3, "4", "s")), 1)
     assert sorted(r.offset for r in kept[0][1]) == [1, 3, 5]
-    assert d.last_published == {0: 3, 2: 5} and d.checkpoint_offset() == 3 and d.counts["publish.success"] == 3
+    assert d.last_published == {0: 3, 2: 5} and d.checkpoint_offset() == 3 and d.counts == {"publish.success": 3, "send.failure": 0, "out.of.order": 1}
 
 
 def test_errors_are_told_once_and_raised(spark):

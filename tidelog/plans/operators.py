@@ -44,6 +44,10 @@ def o03_from_position(spark: SparkSession, sf: str) -> DataFrame:
     return _log(spark, sf).filter(start_condition(FROM_POSITION)).select("offset", "event_type", "file_name", "next_position")
 
 
+def o03_from_gtid(spark: SparkSession, sf: str) -> DataFrame:
+    return _log(spark, sf).filter(start_condition(f"gtid:{SERVER}:1-{LAST_TXN}")).select("offset", "event_type")
+
+
 def o13_known_types(spark: SparkSession, sf: str) -> DataFrame:
     return _log(spark, sf).filter(filters.known_type()).groupBy("event_type").agg(F.count("*").alias("n"), F.min("offset").alias("first_offset"))
 
@@ -277,7 +281,7 @@ def type_names(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        o02_decoded, o03_from_position, o13_known_types, o14_subscribed, o15_unpublished, o15_unpublished_gtid, o15_beyond_states, o16_event_filter, o17_statement_kinds, o18_transaction_marks,
+        o02_decoded, o03_from_position, o03_from_gtid, o13_known_types, o14_subscribed, o15_unpublished, o15_unpublished_gtid, o15_beyond_states, o16_event_filter, o17_statement_kinds, o18_transaction_marks,
         o22_zipped_rows, o23_table_maps, o23_map_refetches, o24_table_columns, o26_transaction_context, o29_event_header, o30_gtid_canonical, o30_gtid_collapsed, o30_gtid_contained, o31_positions,
         o32_mutations, o35_changed_columns, o36_pk_text, o37_routed, o38_databases, o40_wire_records, o42_joined, o43_counters, o44_histograms, o45_lag_gauge, o48_pool_checkpoint,
         o55_schemas_until, o57_compress, o58_without_comments, o60_kept_history, o61_fenced, o63_accepted_checkpoints, o64_rollback_targets, o66_event_order, o67_mutation_order,
@@ -343,6 +347,7 @@ _POS = "'shop-bin.' || printf('%06d', o >> 32) || ':' || (o & 4294967295) || ':'
 SQL: dict[str, str] = {
     "o02_decoded": """select t as event_type, count(*) as n from (select ['WRITE', 'UPDATE', 'DELETE', 'TABLE_MAP', 'XID', null, 'START', null, 'QUERY', 'GTID'][event_id % 10 + 1] as t from events) where t is not null group by t""",
     "o03_from_position": f"""with {_LOG} select "offset", event_type, file_name, next_position from log where "offset" >= {LAST_OFFSET}""",
+    "o03_from_gtid": f"""with {_LOG} select "offset", event_type from log where txn > {LAST_TXN}""",
     "o13_known_types": f"""with {_LOG} select event_type, count(*) as n, min("offset") as first_offset from log group by 1""",
     "o14_subscribed": f"""with {_LOG} select "offset", event_type, case when event_type = 'TABLE_MAP' then ['shop:users', 'shop:visits', 'shop:carts'][txn % 3 + 1] else resolved_table end as resolved_table
 from mapped where case when {_IS_ROW} then resolved_table in ('shop:users', 'shop:carts') when event_type = 'TABLE_MAP' then txn % 3 in (0, 2) else true end""",

@@ -80,6 +80,17 @@ class SchemaTracker:
         self.shadow = ddl.Catalog({d: tables for d, tables in catalog.copy().databases.items() if d not in SYSTEM_DATABASES})
         return [self._put(Statement("", d, position, now, server_uuid, gtid_set), d, t, columns) for d, tables in sorted(self.shadow.databases.items()) for t, columns in sorted(tables.items())]
 
+    @classmethod
+    def initialize(cls, history: DataFrame | None, beyond: Column, live: ddl.Catalog, earliest: str) -> SchemaTracker:
+        """Tracker of a source that starts: its history read up to a position, or, without history, the live tables at the earliest one."""
+        if history is None or history.isEmpty():
+            tracker = cls()
+            tracker.bootstrap(live, earliest)
+            return tracker
+        stop = history.filter(beyond).agg(F.min("id")).first()[0]
+        read = history if stop is None else history.filter(F.col("id") < stop)
+        return cls(r.asDict(recursive=True) for r in read.orderBy("id").toLocalIterator())  # schema statements are few
+
     def process(self, s: Statement) -> list[dict]:
         """Rows that a statement adds to the history."""
         kind = _relevant(s.sql)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.functions import gtid
 from tidelog.functions.positions import log_file_name, offset_of
 from tidelog.model import BINLOG_EVENTS
 
@@ -38,7 +39,12 @@ def decoded(raw: DataFrame, kind: str = "raw_type") -> DataFrame:
 
 
 def start_condition(starting: str):
-    """Predicate for earliest, latest, or file:position (its number and place)."""
+    """Predicate for earliest, latest, file:position (its number and place), or gtid:set (what the set does not hold yet).
+
+    Events without GTID set are all kept by the last.
+    """
+    if starting.startswith("gtid:"):
+        return F.coalesce(~gtid.contained(gtid.parse("gtid_set"), gtid.parse(F.lit(starting[5:]))), F.lit(True))
     if starting == "earliest":
         return F.lit(True)
     if starting == "latest":

@@ -71,8 +71,9 @@ def memory_sink(to: list) -> Publish:
 
 @dataclass
 class Destination:
-    """Maps, publishes and remembers what was published. on_error listeners hear of a failure once.
+    """Validates, maps, publishes and remembers what was published. on_error listeners hear of a failure once.
 
+    validators: by name, functions to a batch's offending rows; they are counted under the name and published all the same.
     delay_ms: a batch waits until its latest mutation is that old. pool_size: rows are spread over members by key, in order.
     """
 
@@ -84,6 +85,7 @@ class Destination:
     order: tuple[str, ...] = ("offset",)
     offset: str = "offset"
     timestamp: str = "ts_ms"
+    validators: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
     on_error: list[Callable[[Exception], None]] = field(default_factory=list)
     on_send: list[Callable[[DataFrame], None]] = field(default_factory=list)
     last_published: dict[int, int] = field(default_factory=dict)
@@ -96,6 +98,8 @@ class Destination:
         sent = to_pool(batch, self.key, self.pool_size, list(self.order)) if self.pool_size else batch.withColumn("member", F.lit(0))
         try:
             stats = sent.groupBy("member").agg(F.max(self.offset).alias("offset"), F.max(self.timestamp).alias("ts"), F.count("*").alias("n")).collect()  # one row a member
+            for name, offending in self.validators.items():
+                self.counts[name] = self.counts.get(name, 0) + offending(batch).count()
             self._wait(max((r.ts for r in stats if r.ts is not None), default=0))
             self.publish(self.mapper(sent.drop("member")), batch_id)
         except Exception as e:
