@@ -12,6 +12,8 @@ _BROKEN = re.compile(f"[ÂÃÄÅã]{_TAIL}|â{_TAIL}{{2}}")
 _TAG = re.compile(r"<[^<>]{0,200}>")
 _WORD = re.compile(r"[^\W_]+")
 _END = re.compile(r"[.!?;。！？]+[\s\"'”’)»]*|\n+|(?:<br\s*/?>)+", re.IGNORECASE)
+# Combining marks and characters without width.
+_MARK = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f\u3099\u309a\u00ad\u200b-\u200f\u2060\ufeff]+")
 _CJK = re.compile("[぀-ヿ㐀-鿿ｦ-ﾟ]")
 
 
@@ -40,8 +42,7 @@ def words(text: str | None) -> list[str]:
     """Words in lower case without accents, marks, punctuation and markup."""
     plain = clean(text)
     if not plain.isascii():
-        plain = unicodedata.normalize("NFKD", plain.casefold())
-        plain = "".join(c for c in plain if c.isascii() or unicodedata.category(c) not in ("Mn", "Cf"))
+        plain = _MARK.sub("", unicodedata.normalize("NFKD", plain.casefold()))
     return _WORD.findall(plain.lower())
 
 
