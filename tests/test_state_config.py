@@ -3,7 +3,8 @@ import json
 import pytest
 
 from tidelog import config
-from tidelog.operators.state import Checkpointer, SourceState, gtid_within, with_retries
+from tidelog.errors import DecodeError, InvalidPositionError, SourceError, source_error
+from tidelog.operators.state import Checkpointer, JsonRepository, SourceState, gtid_within, with_retries
 
 
 def states(*offsets):
@@ -55,6 +56,25 @@ def test_unknown_fields_are_ignored():
     assert gtid_within("A:1-3,a:4", "a:1-9") and not gtid_within("b:1", "a:1-9") and gtid_within("", "")
 
 
+def test_repository(tmp_path):
+    r = JsonRepository(str(tmp_path / "r"))
+    assert not r.exists()
+    r.update(1, lambda a, b: a + b)
+    r.update(2, lambda a, b: a + b)
+    assert r.get() == 3
+    with pytest.raises(FileExistsError):
+        r.create(5)
+    r.remove()
+    r.create(5)
+    assert r.get() == 5
+
+
+def test_errors():
+    assert isinstance(source_error("1236; could not find first log file"), InvalidPositionError)
+    assert type(source_error("2013; lost connection")) is SourceError
+    assert "t.c" in str(DecodeError("bad", "t", "c"))
+
+
 def test_retries():
     calls, waits = [], []
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidelog.config import Config, SourceConfig
 from tidelog.operators.enrich import table_maps, transaction_context
+from tidelog.operators.state import Checkpointer, SourceState
 from tidelog.operators.validate import event_order_violations
 from tidelog.sources.log import log_from_events, read_log
 from tidelog.sources.metadata import Server, base_tables, table_columns, user_databases
@@ -134,6 +135,27 @@ def test_pipe_restarts_after_failure_and_checkpoints(spark, log_dir, tmp_path):
     assert len(done) == len(set(done)) == 1200 and committed[-1] == max(done)
 
 
+def test_a_lost_position_rolls_the_source_back(spark, log_dir, tmp_path):
+    states = Checkpointer(str(tmp_path / "state"))
+    for offset in (1, 2, 3):
+        states.add(SourceState(last_offset=offset))
+
+    def publish(df, n):
+        raise OSError("1236; could not find first log file name")
+
+    def build(s):
+        return s.readStream.format("tidelog_files").load(log_dir).withColumns({"ts_ms": F.col("timestamp_ms"), "routing_key": F.lit("k")})
+
+    p = pipe.Pipe("lost", build, sink.Destination(publish), str(tmp_path / "c"), {"availableNow": True}, states=states)
+    for expected in (3, 1, 0):
+        p.open(spark)
+        with pytest.raises(Exception, match="1236"):
+            p.query.awaitTermination(60)
+        assert p.keep_alive(spark)
+        assert states.state().last_offset == expected
+        p.query.stop()
+
+
 def test_pipes_are_wired_by_type():
     source = SourceConfig("n", ["a:b"], "h", destination={"type": "memory", "pool_size": 2}, delay_send_ms=5)
     with pytest.raises(ValueError, match="unknown destination"):

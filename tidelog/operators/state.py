@@ -85,9 +85,41 @@ def gtid_within(a: str, b: str) -> bool:
     return all(u in y and all(any(s <= i and j <= e for s, e in y[u]) for i, j in r) for u, r in x.items())
 
 
+class JsonRepository:
+    """A value kept as JSON in a file (written to a side file, then renamed); one writer."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def exists(self) -> bool:
+        return os.path.exists(self.path)
+
+    def get(self):
+        with open(self.path) as f:
+            return json.load(f)
+
+    def set(self, value) -> None:
+        with open(f"{self.path}.new", "w") as f:
+            json.dump(value, f)
+        os.replace(f"{self.path}.new", self.path)
+
+    def create(self, value) -> None:
+        if self.exists():
+            raise FileExistsError(self.path)
+        self.set(value)
+
+    def update(self, value, change: Callable) -> None:
+        """Set change(current, value), or value if there is none yet."""
+        self.set(change(self.get(), value) if self.exists() else value)
+
+    def remove(self) -> None:
+        if self.exists():
+            os.remove(self.path)
+
+
 @dataclass
 class Checkpointer:
-    """State, history and roll-back of one source, in one JSON file (single writer; written to a side file, then renamed)."""
+    """State, history and roll-back of one source, in one JSON file."""
 
     path: str
     leader_epoch: int = 0
@@ -98,16 +130,14 @@ class Checkpointer:
         self.history: list[SourceState] = []
         self.step = 1
         self.saved: SourceState | None = None
-        if os.path.exists(self.path):
-            with open(self.path) as f:
-                data = json.load(f)
+        self.repository = JsonRepository(self.path)
+        if self.repository.exists():
+            data = self.repository.get()
             self.saved = SourceState.from_json(json.dumps(data["state"])) if data.get("state") else None
             self.history = [SourceState.from_json(json.dumps(s)) for s in data["history"]]
 
     def _store(self) -> None:
-        with open(f"{self.path}.new", "w") as f:
-            json.dump({"state": asdict(self.saved) if self.saved else None, "history": [asdict(s) for s in self.history]}, f)
-        os.replace(f"{self.path}.new", self.path)
+        self.repository.set({"state": asdict(self.saved) if self.saved else None, "history": [asdict(s) for s in self.history]})
 
     def state(self) -> SourceState:
         return self.saved or self.initial

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import gtid, keys, positions, statements
-from tidelog.model import TYPE_CODES, type_name
+from tidelog.model import BINLOG_EVENTS, TYPE_CODES, type_name
 from tidelog.operators import enrich, filters, ledger, metrics, mutate, route, state, validate
 from tidelog.plans.feed import TABLE_KEY, table, version_order, with_term
 from tidelog.schema import store
+from tidelog.session import shared_folder
 from tidelog.sources.log import COLUMNS, SERVER, decoded, log_from_events, start_condition
+from tidelog.streaming.mutations import TableColumns, mutation_stream
 from tidelog.streaming.sink import wire_records
 
 SUBSCRIBED = ["shop:users", "shop:carts"]
@@ -273,6 +275,24 @@ def o75_delayed(spark: SparkSession, sf: str) -> DataFrame:
     return route.delayed(_mutations(spark, sf), NOW_MS, DELAY_MS).select("delivery_id", "ts_ms")
 
 
+def o80_streamed_mutations(spark: SparkSession, sf: str) -> DataFrame:
+    """The log as a stream: context in state, subscribed tables beyond a saved state, mutations into a file sink; then read."""
+    folder = shared_folder(spark, "streamed")
+    _log(spark, sf).write.parquet(f"{folder}/log")
+    provider, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        events = spark.readStream.schema(BINLOG_EVENTS.replace("\n", " ")).parquet(f"{folder}/log")
+        made = mutation_stream(events, {t: TableColumns(COLUMNS, ("user_id",)) for t in SUBSCRIBED}, state.SourceState(last_offset=LAST_OFFSET))
+        query = made.writeStream.format("parquet").option("path", f"{folder}/mutations").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+    found = spark.read.schema(made.schema).parquet(f"{folder}/mutations")
+    offset = lambda c: F.get_json_object(c, "$.offset").cast("long")
+    return found.select("offset", "event_row_position", "op_seq", "op", "database_name", "table_name", "routing_key", offset("begin_txn").alias("begin_offset"), offset("last_txn").alias("last_offset"), _image_text("entity").alias("entity_text"))
+
+
 def type_names(spark: SparkSession, sf: str) -> DataFrame:
     codes = _mutations(spark, sf).select(F.explode("table_columns").alias("c")).select(F.col("c.col_type").alias("code")).distinct()
     return codes.select("code", type_name("code").alias("type_name"))
@@ -285,7 +305,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         o22_zipped_rows, o23_table_maps, o23_map_refetches, o24_table_columns, o26_transaction_context, o29_event_header, o30_gtid_canonical, o30_gtid_collapsed, o30_gtid_contained, o31_positions,
         o32_mutations, o35_changed_columns, o36_pk_text, o37_routed, o38_databases, o40_wire_records, o42_joined, o43_counters, o44_histograms, o45_lag_gauge, o48_pool_checkpoint,
         o55_schemas_until, o57_compress, o58_without_comments, o60_kept_history, o61_fenced, o63_accepted_checkpoints, o64_rollback_targets, o66_event_order, o67_mutation_order,
-        o68_schema_violations, o75_delayed, type_names,
+        o68_schema_violations, o75_delayed, o80_streamed_mutations, type_names,
     )
 }
 
@@ -415,5 +435,8 @@ select schema_id from o where table_name is null and older union all select sche
     "o67_mutation_order": """select * from (select delivery_id, mutation_id, lag(mutation_id) over (partition by source_id order by delivery_id) as previous_offset from mutations) where previous_offset > mutation_id""",
     "o68_schema_violations": """select delivery_id, source_id, table_name from mutations where list_sort(map_keys(entity)) <> list_sort(list_transform(table_columns, lambda c: c.col_name))""",
     "o75_delayed": f"""select delivery_id, ts_ms from mutations where ts_ms <= {NOW_MS} - {DELAY_MS}""",
+    "o80_streamed_mutations": f"""with {_LOG}, {_ROW_IMAGES}, {_CONTEXT}
+select m."offset", event_row_position, op_seq, op, 'shop' as database_name, substr(p.resolved_table, 6) as table_name, p.resolved_table || ':' || entity['user_id'] as routing_key, c.begin_offset, c.last_offset, {_text("entity")} as entity_text
+from mut m join context c using (i) join mapped p using (i) where p.resolved_table in ('shop:users', 'shop:carts') and m."offset" > {LAST_OFFSET}""",
     "type_names": "select distinct c.col_type as code, case c.col_type " + " ".join(f"when {k} then '{n}'" for k, (n, _) in TYPE_CODES.items()) + " else 'UNKNOWN' end as type_name from (select unnest(table_columns) as c from mutations)",
 }

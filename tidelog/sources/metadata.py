@@ -39,6 +39,10 @@ class Server:
     def log_files(self) -> DataFrame:
         return self.query("SHOW BINARY LOGS")
 
+    def create_statement(self, database: str, table: str) -> str:
+        quote = lambda n: "`" + n.replace("`", "``") + "`"
+        return self.query(f"SHOW CREATE TABLE {quote(database)}.{quote(table)}").first()[1]
+
     def columns(self) -> DataFrame:
         return self.query("SELECT TABLE_SCHEMA, TABLE_NAME, COLUMN_NAME, DATA_TYPE, COLUMN_TYPE, COLUMN_KEY, ORDINAL_POSITION FROM information_schema.COLUMNS")
 

@@ -11,19 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.config import Config, SourceConfig
+from tidelog.errors import INVALID_POSITION, InvalidPositionError, source_error
 from tidelog.functions.keys import TOPIC_PREFIX
+from tidelog.operators.state import Checkpointer
 from tidelog.streaming.sink import Destination
 
 # Seconds between looks at a pipe's life, between checkpoints, and that stopping may take.
 KEEP_ALIVE_S, CHECKPOINT_S, STOP_S = 5.0, 60.0, 30.0
 
 
+def _cause(message: str) -> str:
+    """What a reader said, out of the query's error: from the number of a lost position on, if it is there."""
+    at = message.find(f"{INVALID_POSITION};")
+    return message[at:] if at >= 0 else message
+
+
 @dataclass
 class Pipe:
     """One streaming query. Opening twice does nothing; a query that failed is opened again by keep_alive().
 
     build: returns the stream of mutations for a session. checkpoint_path: Spark's checkpoint of the query, in shared storage.
-    commit: called with the offset up to which all is published.
+    commit: called with the offset up to which all is published. states: gone back on when the server has lost the position.
     """
 
     name: str
@@ -32,6 +40,7 @@ class Pipe:
     checkpoint_path: str
     trigger: dict = field(default_factory=lambda: {"processingTime": "1 second"})
     commit: Callable[[int], None] | None = None
+    states: Checkpointer | None = None
     query: StreamingQuery | None = None
     restarts: int = 0
 
@@ -50,7 +59,10 @@ class Pipe:
         """Open again what has failed; whether it was."""
         if not self.failed():
             return False
-        self.checkpoint()
+        if self.states is not None and isinstance(source_error(_cause(str(self.query.exception()))), InvalidPositionError):
+            self.states.reset()
+        else:
+            self.checkpoint()
         self.restarts += 1
         self.open(spark)
         return True

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.errors import DestinationError
 from tidelog.functions.keys import record_key, topic
 from tidelog.operators.mutate import wire_image
 from tidelog.operators.route import pool_checkpoint, to_pool
@@ -16,10 +17,6 @@ from tidelog.operators.route import pool_checkpoint, to_pool
 Publish = Callable[[DataFrame, int], None]
 
 
-class DestinationError(RuntimeError):
-    """A batch could not be published."""
-
-
 def wire_table() -> Column:
     """Table as it is sent: key columns in the order of their names, columns by name, overriding database only if it is not empty."""
     return F.struct(
