@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidelog.functions import gtid, keys, positions, statements
-from tidelog.model import spark_type, type_name
+from tidelog.model import mutation_type, spark_type, type_name
 
 U1, U2 = "aaaaaaaa-0000-0000-0000-000000000001", "aaaaaaaa-0000-0000-0000-000000000002"
 
@@ -105,6 +105,8 @@ def test_statements(spark):
 def test_type_codes(spark):
     names = spark.createDataFrame([(3,), (-4,), (252,), (245,), (None,)], "c int").select(type_name("c").alias("n")).collect()
     assert [r.n for r in names] == ["LONG", "BLOB", "BLOB", "UNKNOWN", "UNKNOWN"]
+    kinds = spark.createDataFrame([(1,), (4,), (9,), (None,)], "c int").select(mutation_type("c").alias("k")).collect()
+    assert [r.k for r in kinds] == [1, 4, 4, 4]
     assert spark_type(8, "bigint(20) unsigned").simpleString() == "decimal(20,0)"
     assert spark_type(246, "decimal(9,4)").simpleString() == "decimal(9,4)"
     assert spark_type(246, "decimal(65,4)").simpleString() == "string"

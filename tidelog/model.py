@@ -38,6 +38,12 @@ def type_name(code: Column | str) -> Column:
     return F.coalesce(F.try_element_at(table, c), F.lit(UNKNOWN[1]))
 
 
+def mutation_type(code: Column | str) -> Column:
+    """A mutation's type code; unknown codes and nulls are INVALID."""
+    c = F.col(code) if isinstance(code, str) else code
+    return F.when(c.isin(*MUTATION_TYPES), c.cast("int")).otherwise(INVALID)
+
+
 def spark_type(code: int, raw_type: str = "") -> T.DataType:
     """Spark type for a column: widened one step if unsigned, decimals by their raw type (text beyond 38 digits)."""
     import re
