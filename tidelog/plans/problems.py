@@ -111,8 +111,8 @@ def _key_counts(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "mutations").select(*TABLE_KEY, pk_value().alias("pk_value"), "delivery_id")
     spread = F.col("delivery_id")
     counts = skew.fragment_aggregate(rows, ROW_KEY, {"n": F.count("*")}, {"n": F.sum("n")}, spread)
-    totals = counts.groupBy("source_id").agg(F.sum("n").alias("source_rows"))
     plan = skew.plan_fragments(rows, ["source_id"])
+    totals = skew.fragment_aggregate(rows, ["source_id"], {"source_rows": F.count("*")}, {"source_rows": F.sum("source_rows")}, spread, plan)  # reads no images
     keyed = counts.filter(F.col("pk_value").isNotNull())
     return skew.fragment_join(keyed, totals, ["source_id"], F.xxhash64(*ROW_KEY), plan=plan)
 
