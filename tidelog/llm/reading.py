@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.text import mostly_cjk, sentences
-from tidelog.session import small_side, spread_out
+from tidelog.session import parallelism, small_side, spread_out
 
 GRADES = (1, 2, 3, 4, 5)
 #: Graded texts that the model is fitted on at most (picked by hash of the id), and texts a word must stand in.
@@ -140,7 +140,7 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     """
     graded = text_grades(labels, doc_id, grader, grade).orderBy(F.xxhash64(doc_id), doc_id).limit(fit_docs)
     sample = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(lang).alias("l")).join(small_side(graded.select(F.col(doc_id).alias("d"), "grade"), fit_docs), "d")
-    sample = sample.filter(F.length("t") > 0).select("t", "l", "grade")
+    sample = sample.filter(F.length("t") > 0).select("t", "l", "grade").repartition(parallelism(documents.sparkSession))
 
     def occurrences(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -151,7 +151,7 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
                     seen.update((u, name, int(g)) for u in {"", *(u for s in sentences(t) for u in units(s))})  # the empty word counts texts
             yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["word", "lang", "grade", "n"])
 
-    counted = spread_out(sample).mapInPandas(occurrences, "word string, lang string, grade int, n bigint").groupBy("word", "lang", "grade").agg(F.sum("n").alias("n"))
+    counted = sample.mapInPandas(occurrences, "word string, lang string, grade int, n bigint").groupBy("word", "lang", "grade").agg(F.sum("n").alias("n"))
     common = counted.groupBy("word").agg(F.collect_list(F.struct("lang", "grade", "n")).alias("c"), F.sum("n").alias("total")).filter((F.col("total") >= SUPPORT) | (F.col("word") == ""))
     rows = common.select("word", "c").collect()  # bounded by fit_docs
     texts = {(x.lang, x.grade): x.n for r in rows if r.word == "" for x in r.c}
@@ -162,7 +162,7 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
         for f in frames:
             yield pd.DataFrame({"score": [shared.value.score(t)[0] for t in f["t"]], "grade": f["grade"]}).dropna().astype({"score": float})
 
-    model.cuts = calibrate([(r.score, r.grade) for r in spread_out(sample).mapInPandas(scores, "score double, grade int").collect()])  # at most fit_docs rows
+    model.cuts = calibrate([(r.score, r.grade) for r in sample.mapInPandas(scores, "score double, grade int").collect()])  # at most fit_docs rows
     return model
 
 
