@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from tidelog.operators import drift
+from tidelog.plans import problems
 
 HISTORY = "id long, t string, columns array<struct<col_name:string,data_type:string,column_type:string,primary_key:boolean>>, sql string"
 
@@ -71,3 +72,29 @@ def test_rows_are_routed_through_all_later_renames_and_casts(spark):
     images = spark.createDataFrame([(1, {"id": " 07", "a": "12"}), (2, {"id": "8", "b": "x"}), (5, {"id": "9", "c": "new", "stray": "s"})], "version long, image map<string,string>")
     got = {r.version: dict(r.out) for r in images.join(routes, "version").select("version", drift.route_image(F.col("image"), F.col("route")).alias("out")).collect()}
     assert got == {1: {"id": "7", "c_2": "12"}, 2: {"id": "8", "c_2": "x"}, 5: {"id": "9", "c": "new", "stray": "s"}}
+
+
+def _feed(tmp_path, spark, mutations, versions):
+    """A change feed of one table: mutations (id, image, columns with their codes), versions (schema_id, position, columns, sql)."""
+    spark.createDataFrame([("s", 1, None)], "source_id string, term_no int, server_uuid string").write.parquet(f"{tmp_path}/data_sources.parquet")
+    rows = [(p, "s", None, 2**32 + p, 0, 1, f"b.1:{p}:0", "d", "t", image, [(n, c, False, i) for i, (n, c) in enumerate(cs)]) for p, image, cs in mutations]
+    kinds = "delivery_id long, source_id string, server_uuid string, mutation_id long, event_row_position int, mutation_type int, binlog_pos string, database_name string, table_name string, entity map<string,string>, table_columns array<struct<col_name:string,col_type:long,is_primary_key:boolean,col_position:int>>"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/mutations.parquet")
+    rows = [(i, "s", None, f"b.000001:{p}:0", "d", "t", c, sql) for i, p, c, sql in versions]
+    kinds = "schema_id long, source_id string, server_uuid string, binlog_file_position string, database_name string, table_name string, column_list array<struct<col_name:string,data_type:string,column_type:string,primary_key:boolean>>, sql_text string"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/schema_history.parquet")
+    return str(tmp_path)
+
+
+def test_deliveries_before_the_first_version_are_routed_by_their_column_list(spark, tmp_path):
+    ab, cb = [("id", 3), ("a", 15)], [("id", 3), ("c", 15)]
+    versions = [(7, 50, cols("id int(11)", "a varchar(3)"), None), (8, 90, cols("id int(11)", "c varchar(3)"), "ALTER TABLE t CHANGE a c varchar(3)")]
+    early = [("id", 3), ("a", 15), ("gone", 15)]  # in no version
+    mutations = [(5, {"id": "1", "a": "x", "gone": "g"}, early), (10, {"id": "2", "a": "y"}, ab), (20, {"id": "3", "a": "z"}, cb), (60, {"id": "4", "a": "w"}, cb), (95, {"id": "5", "c": "v"}, cb)]
+    sf = _feed(tmp_path, spark, mutations, versions)
+    got = {r.delivery_id: (r.schema_id, dict(e.split("=") for e in r.unified_row.split(";"))) for r in problems.p4_unified(spark, sf).collect()}
+    assert {k: v[0] for k, v in got.items()} == {5: None, 10: 7, 20: 7, 60: 7, 95: 8}
+    assert {k: v[1]["c"] for k, v in got.items()} == {5: "x", 10: "y", 20: "z", 60: "w", 95: "v"}
+    assert got[5][1]["gone"] == "g" and all("a" not in v[1] for v in got.values())
+    steps = [(r.schema_id, r.change_kind, r.old_name, r.new_name) for r in problems.p4_feed_changes(spark, sf).collect()]
+    assert steps == [(7, "removed", "gone", "")]

@@ -50,6 +50,37 @@ def fingerprint(columns: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.transform(plain_columns(columns), lambda c: F.concat_ws("\1", c["name"], c["type"]))), "\2"), 256)
 
 
+# Kinds of columns by the codes of a log's table maps; kinds that share a code are one here, whatever the statement calls them.
+_KINDS = {"decimal": (0, 246), "tinyint": (1,), "smallint": (2,), "int": (3,), "float": (4,), "double": (5,), "timestamp": (7, 17), "bigint": (8,), "mediumint": (9,), "date": (10, 14), "time": (11, 19), "datetime": (12, 18), "year": (13,), "varchar": (15, 253), "bit": (16,), "json": (245,), "text": (249, 250, 251, 252), "char": (247, 248, 254), "geometry": (255,)}
+_SAME = {"numeric": "decimal", "dec": "decimal", "fixed": "decimal", "bool": "tinyint", "boolean": "tinyint", "integer": "int", "real": "double", "varbinary": "varchar", "binary": "char", "enum": "char", "set": "char"} | {f"{size}{kind}": "text" for size in ("tiny", "", "medium", "long") for kind in ("text", "blob")}
+
+
+def _lookup(values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+
+
+def recorded_kinds(columns: Column) -> Column:
+    """Columns of a recorded version as array of (name, kind), in the terms of listed_kinds()."""
+    word = lambda t: F.regexp_extract(t, "^[a-z]*", 0)
+    return F.transform(plain_columns(columns), lambda c: F.struct(F.lower(c["name"]).alias("name"), F.coalesce(F.try_element_at(_lookup(_SAME), word(c["type"])), word(c["type"])).alias("type")))
+
+
+def listed_kinds(columns: Column) -> Column:
+    """Column list of a mutation (col_name, col_type a code) as array of (name, kind)."""
+    kinds = _lookup({code: kind for kind, codes in _KINDS.items() for code in codes})
+    return F.transform(columns, lambda c: F.struct(F.lower(c["col_name"]).alias("name"), F.coalesce(F.try_element_at(kinds, c["col_type"].cast("int")), c["col_type"].cast("string"), F.lit("")).alias("type")))
+
+
+def kind_fingerprint(kinds: Column) -> Column:
+    """Hash of names and kinds whatever their order: equal for a recorded version and a mutation's list of the same columns."""
+    return F.sha2(F.array_join(F.array_sort(F.transform(kinds, lambda c: F.concat_ws("\1", c["name"], c["type"]))), "\2"), 256)
+
+
+def as_recorded(kinds: Column) -> Column:
+    """A mutation's (name, kind) list in the form of schema_history's column_list."""
+    return F.transform(kinds, lambda c: F.struct(c["name"].alias("col_name"), c["type"].alias("data_type"), c["type"].alias("column_type"), F.lit(False).alias("primary_key")))
+
+
 def migration_steps(old: Column, new: Column, renames: Column) -> Column:
     """Array of (kind, old_name, new_name, old_type, new_type) that lead from one version's plain columns to the next's.
 

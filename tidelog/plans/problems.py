@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.positions import canonical_uuid
 from tidelog.operators import asof, dedupe, drift, history, ledger, replay, skew
+from tidelog.operators.asof import previous_row
 from tidelog.plans.feed import DELETE, IDENTITY, INSERT, ORDER, ROW_KEY, TABLE_KEY, UPDATE, full_image, order_hint, pk_value, table, version_order, with_order, with_term
+from tidelog.session import shared_folder, small_side
 
 #: A key is heavy from this share of its source's rows.
 HEAVY_SHARE = 0.03
@@ -64,31 +66,97 @@ def _versions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _VERSION_ORDER = ["term_no", "change_id", "schema_id"]
+_LIST_KEY = [*TABLE_KEY, "list_print"]
+_NO_COLUMNS = "array<struct<name:string,type:string>>"
 
 
 def _version_steps(spark: SparkSession, sf: str) -> DataFrame:
     return drift.schema_versions(_versions(spark, sf), TABLE_KEY, _VERSION_ORDER, order_hint())
 
 
+def _kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Recorded versions with (name, kind) columns, their fingerprint, and a key that lists without a version have, too."""
+    kinds = F.coalesce(drift.recorded_kinds(F.col("column_list")), F.array().cast(_NO_COLUMNS))
+    rows = _versions(spark, sf).dropna(subset=TABLE_KEY).withColumn("kinds", kinds)
+    return rows.withColumns({"list_print": drift.kind_fingerprint(F.col("kinds")), "version_key": F.concat(F.lit("v"), F.col("schema_id").cast("string"))})
+
+
+def _feed_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Each distinct column list (Table.columns) of a table with its first place in the feed, whether a recorded version has the
+    same fingerprint (recorded), and whether it came before the table's first recorded version (early).
+
+    One row a list, kept in a working table, as it is used several times."""
+    rows = _ordered(spark, sf).dropna(subset=TABLE_KEY).filter(F.size("table_columns") > 0).withColumn("kinds", F.array_sort(drift.listed_kinds(F.col("table_columns"))))
+    lists = rows.groupBy(*TABLE_KEY, "kinds").agg(F.min(F.struct("term_no", "change_id")).alias("at"), F.count("*").alias("deliveries"))
+    recorded = _kinds(spark, sf).filter(F.size("kinds") > 0)
+    first = recorded.groupBy(*TABLE_KEY).agg(F.min(F.struct("term_no", "change_id")).alias("first_at"))
+    lists = lists.withColumn("list_print", drift.kind_fingerprint(F.col("kinds"))).join(recorded.select(*_LIST_KEY, F.lit(True).alias("known")).distinct(), _LIST_KEY, "left").join(first, TABLE_KEY, "left")
+    early = F.coalesce(F.col("at") < F.col("first_at"), F.lit(True))
+    lists = lists.select(*_LIST_KEY, "kinds", "at.*", "deliveries", F.coalesce("known", F.lit(False)).alias("recorded"), early.alias("early"))
+    lists.write.parquet(path := shared_folder(spark, "lists"))
+    return spark.read.parquet(path)
+
+
+def _as_versions(lists: DataFrame) -> DataFrame:
+    """Column lists without a version of their own in the form of schema_history's rows; schema_id is null."""
+    key = F.concat_ws(":", F.lit("l"), *TABLE_KEY, "list_print")
+    return lists.filter(~F.col("recorded")).select(*_LIST_KEY, "kinds", "term_no", "change_id", "early", drift.as_recorded(F.col("kinds")).alias("column_list"), key.alias("version_key"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return drift.column_changes(_version_steps(spark, sf), ["schema_id"])
 
 
+def p4_feed_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Drift seen only in Table.columns: changes to a column list that no recorded version has from the version or list before it, and
+    from such lists to the table's first recorded version. Names and kinds count; no statement tells renames here."""
+    lists = _as_versions(_feed_lists(spark, sf)).withColumn("listed", F.lit(True))
+    rows = _kinds(spark, sf).withColumn("listed", F.lit(False)).unionByName(lists, allowMissingColumns=True)
+    rows = previous_row(rows.select(*TABLE_KEY, "term_no", "change_id", "schema_id", "version_key", "kinds", "listed", "early"), TABLE_KEY, ["term_no", "change_id", "schema_id", "version_key"], ["kinds", "listed", "early"], order_hint(), "before")
+    seen = F.col("listed") | (F.col("before.listed") & F.col("before.early"))
+    steps = drift.migration_steps(F.col("before.kinds"), F.col("kinds"), F.array().cast("array<struct<old:string,new:string>>"))
+    changed = rows.filter(seen & (F.size("kinds") > 0) & (F.size("before.kinds") > 0)).withColumn("steps", steps)
+    return drift.column_changes(changed, [*TABLE_KEY, "term_no", "change_id", "schema_id"])
+
+
 def p4_unified(spark: SparkSession, sf: str) -> DataFrame:
-    """Every delivery's image in its table's one schema: routed by the version in force through all later renames and casts."""
-    versions = _version_steps(spark, sf)
-    routes = drift.unified_columns(drift.lineage(versions, TABLE_KEY, _VERSION_ORDER, "schema_id"), versions, TABLE_KEY, _VERSION_ORDER, "schema_id")
-    rows = _in_force(spark, sf, ["delivery_id", "entity"])
-    routed = skew.fragment_join(rows.select("delivery_id", *TABLE_KEY, "entity", F.col("version.schema_id").alias("schema_id")), routes.select("schema_id", "route"), ["schema_id"], F.col("delivery_id"), "left")
+    """Every delivery's image in its table's one schema, with every column of it: routed by a version through all later renames and casts.
+
+    The version is the one in force if it lists the image's columns. Else (none is recorded yet, or the image is of another
+    one) it is the one with the fingerprint of the delivery's own Table.columns, else the table's first. Lists of before the
+    first version that no version has are versions, too (schema_id null)."""
+    lists = _feed_lists(spark, sf)
+    kinds = _kinds(spark, sf)
+    history = kinds.unionByName(_as_versions(lists).filter("early").drop("early"), allowMissingColumns=True)
+    order = [*_VERSION_ORDER, "version_key"]
+    versions = drift.schema_versions(history, TABLE_KEY, order, order_hint())
+    routes = drift.unified_columns(drift.lineage(versions, TABLE_KEY, order, "version_key"), versions, TABLE_KEY, order, "version_key")
+
+    place = F.struct("term_no", "change_id", F.struct("version_key", "schema_id", F.transform("kinds", lambda c: c["name"]).alias("names")).alias("version"))
+    some = history.filter(F.size("kinds") > 0)
+    by_list = some.groupBy(*_LIST_KEY).agg(F.array_sort(F.collect_list(place)).alias("same"))
+    first = some.groupBy(*TABLE_KEY).agg(F.min_by(place, F.struct(F.col("schema_id").isNull(), "term_no", "change_id", "schema_id", "version_key"))["version"].alias("first"))
+
+    rows = _in_force(spark, sf, ["delivery_id", "entity", "table_columns"], "kinds")
+    rows = rows.withColumn("list_print", drift.kind_fingerprint(F.array_sort(drift.listed_kinds(F.col("table_columns"))))).drop("table_columns")
+    rows = rows.join(small_side(by_list), _LIST_KEY, "left").join(small_side(first), TABLE_KEY, "left")
+    before = F.filter("same", lambda v: F.struct(v["term_no"], v["change_id"]) <= F.struct("term_no", "change_id"))
+    force = F.when(F.size("version.kinds") > 0, F.struct(F.concat(F.lit("v"), F.col("version.schema_id").cast("string")).alias("version_key"), F.col("version.schema_id").alias("schema_id"), F.transform("version.kinds", lambda c: c["name"]).alias("names")))
+    rows = rows.withColumns({"force": force, "listed": F.coalesce(F.try_element_at(before, F.lit(-1)), F.get("same", F.lit(0)))["version"]})
+    fits = lambda v: F.when(F.size(F.array_except(F.transform(F.coalesce(F.map_keys("entity"), F.array().cast("array<string>")), F.lower), F.col(f"{v}.names"))) == 0, F.col(v))
+    rows = rows.withColumn("chosen", F.coalesce(fits("force"), fits("listed"), fits("first"), "force", "listed", "first"))
+
+    lean = rows.select("delivery_id", *TABLE_KEY, "entity", F.col("chosen.schema_id").alias("schema_id"), F.coalesce("chosen.version_key", F.lit("")).alias("version_key"))
+    routed = skew.fragment_join(lean, routes.select("version_key", "route"), ["version_key"], F.col("delivery_id"), "left")
     image = F.coalesce(F.when(F.col("route").isNull(), F.col("entity")).otherwise(drift.route_image(F.col("entity"), F.col("route"))), F.create_map().cast("map<string,string>"))
     text = F.array_join(F.transform(F.array_sort(F.map_keys(image)), lambda k: F.concat_ws("=", k, F.coalesce(F.try_element_at(image, k), F.lit("")))), ";")
     return routed.select("delivery_id", *TABLE_KEY, "schema_id", text.alias("unified_row"))
 
 
-def _in_force(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame:
+def _in_force(spark: SparkSession, sf: str, columns: list[str], *payload: str) -> DataFrame:
     rows = _ordered(spark, sf).select(*columns, *TABLE_KEY, "term_no", "change_id")
-    versions = _versions(spark, sf).withColumn("column_count", F.size("column_list"))
-    return asof.asof_join(rows, versions, TABLE_KEY, ["term_no", "change_id"], ["schema_id", "column_count"], order_hint(), [-F.col("schema_id")])
+    versions = (_kinds(spark, sf) if payload else _versions(spark, sf)).withColumn("column_count", F.size("column_list"))
+    return asof.asof_join(rows, versions, TABLE_KEY, ["term_no", "change_id"], ["schema_id", "column_count", *payload], order_hint(), [-F.col("schema_id")])
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,7 +194,7 @@ def p7_key_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_table_sizes, p2_found, p2_unique, p3_found, p4_found, p4_unified, p5_found, p6_found, p7_found, p7_key_counts)
+    f.__name__: f for f in (p1_found, p1_table_sizes, p2_found, p2_unique, p3_found, p4_found, p4_feed_changes, p4_unified, p5_found, p6_found, p7_found, p7_key_counts)
 }
 
 # The SQL states each problem directly (one window or aggregate over everything), without the operators' plans.
