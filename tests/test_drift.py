@@ -98,3 +98,25 @@ def test_deliveries_before_the_first_version_are_routed_by_their_column_list(spa
     assert got[5][1]["gone"] == "g" and all("a" not in v[1] for v in got.values())
     steps = [(r.schema_id, r.change_kind, r.old_name, r.new_name) for r in problems.p4_feed_changes(spark, sf).collect()]
     assert steps == [(7, "removed", "gone", "")]
+
+
+def test_stated_defaults(spark):
+    statements = {
+        "ALTER TABLE t ADD a int NOT NULL DEFAULT 0 AFTER x, ADD COLUMN `B` varchar(9) DEFAULT 'it''s, add q int default 3'": {"a": "0", "b": "it's, add q int default 3"},
+        "ALTER TABLE t ADD a decimal(9,2) COMMENT 'default 9' default -1.5 /* don't, add q int default 1 */, add d int": {"a": "-1.5"},
+        "ALTER TABLE t ADD a timestamp DEFAULT CURRENT_TIMESTAMP, ADD b int DEFAULT NULL, MODIFY c int DEFAULT 4": {},
+        None: {},
+    }
+    df = spark.createDataFrame([(s,) for s in statements], "sql string").select("sql", drift.stated_defaults(F.col("sql")).alias("d"))
+    assert {r.sql: r.d for r in df.collect()} == statements
+
+
+def test_every_row_has_all_columns_of_the_one_schema(spark, tmp_path):
+    first, last = [("id", 3), ("a", 15), ("old", 15)], [("id", 3), ("a", 15), ("n", 3), ("m", 3)]
+    versions = [(1, 1, cols("id int", "a varchar(3)", "old varchar(3)"), None), (2, 50, cols("id int", "a varchar(3)", "n int", "m int"), "ALTER TABLE t DROP old, ADD n int NOT NULL DEFAULT '07', ADD m int")]
+    mutations = [(10, {"id": "1", "a": "x", "old": "o"}, first), (20, {"id": "2", "a": None, "old": ""}, first), (60, {"id": "3", "a": "y", "n": "4", "m": None}, last), (70, {"id": "5"}, last), (80, {"id": "6", "only": "f"}, [*last, ("only", 15)])]
+    got = {r.delivery_id: r.unified_row for r in problems.p4_unified(spark, _feed(tmp_path, spark, mutations, versions)).collect()}
+    assert got == {
+        10: r"a=x;id=1;m=\N;n=7;old=o;only=\N", 20: r"a=\N;id=2;m=\N;n=7;old=;only=\N", 60: r"a=y;id=3;m=\N;n=4;old=\N;only=\N",
+        70: r"a=\N;id=5;m=\N;n=\N;old=\N;only=\N", 80: r"a=\N;id=6;m=\N;n=\N;old=\N;only=f",
+    }

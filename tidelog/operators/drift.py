@@ -25,6 +25,34 @@ def bare_statement(sql: Column) -> Column:
     return F.regexp_replace(no_text, r"(?s)/\*.*?\*/|(?m)(?:--\s|#).*$", " ")
 
 
+# Text literals and comments, told apart by which begins first.
+_LITERAL = r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*\""""
+_TOKEN = rf"(?s){_LITERAL}|/\*.*?\*/|--\s[^\n]*|#[^\n]*"
+_ADD = rf"(?is)(?:\btable\s+(?:if\s+exists\s+)?{_TABLE}|,)\s*add\s+(?:column\s+)?(?:if\s+not\s+exists\s+)?{_ID}\s+\w+(?:\s*\([^)]*\))?(?:\s+(?!default\b)[^\s,]+)*\s+default\s+('\d+'|[+-]?[\w.]+)"
+
+
+def stated_defaults(sql: Column) -> Column:
+    """Map of column (lower case) -> default that an ALTER TABLE statement states for a column it adds. Null text: empty.
+
+    Literals only: a default that the server computes (CURRENT_TIMESTAMP, an expression) is not known here and is left out.
+    """
+    text = F.coalesce(sql, F.lit(""))
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    between = F.split(text, _TOKEN, -1)
+    mark = lambda i: F.when(F.get(tokens, i).rlike("^['\"]"), F.concat(F.lit("'"), i.cast("string"), F.lit("'"))).otherwise(F.lit(" "))
+    numbered = F.array_join(F.transform(between, lambda p, i: F.concat(p, F.coalesce(mark(i), F.lit("")))), "")
+    names = F.transform(F.regexp_extract_all(numbered, F.lit(_ADD), F.lit(1)), lambda n: F.lower(F.translate(n, "`", "")))
+
+    def value(v: Column) -> Column:
+        literal = F.get(tokens, F.translate(v, "'", "").try_cast("int"))
+        inner = F.regexp_replace(F.regexp_replace(F.substring(literal, F.lit(2), F.length(literal) - 2), "''", "'"), r"\\(.)", "$1")
+        return F.when(v.startswith("'"), inner).when(v.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), v).when(F.lower(v) == "true", "1").when(F.lower(v) == "false", "0")
+
+    pairs = F.zip_with(names, F.regexp_extract_all(numbered, F.lit(_ADD), F.lit(2)), lambda n, v: F.struct(n.alias("key"), value(v).alias("value")))
+    known = F.filter(pairs, lambda p: p["value"].isNotNull())
+    return F.map_from_entries(F.filter(known, lambda p, i: ~F.exists(F.slice(known, F.lit(1), i), lambda q: q["key"] == p["key"])))
+
+
 def stated_renames(sql: Column) -> Column:
     """Array of (old, new) that an ALTER TABLE statement renames, lower case; CHANGE a a is no rename. Null text: empty."""
     text = bare_statement(F.coalesce(sql, F.lit("")))
@@ -183,21 +211,31 @@ def lineage(versions: DataFrame, keys: list[str], order: list[str], version: str
     return lean.repartition(*keys).sortWithinPartitions(*keys, *[f"_o{i}" for i in range(len(order))]).mapInArrow(run, schema)
 
 
-def unified_columns(lineages: DataFrame, versions: DataFrame, keys: list[str], order: list[str], version: str) -> DataFrame:
-    """For each version, how its columns go into the table's one schema: (keys, version, route), route a map name -> (name, type).
+def unified_columns(lineages: DataFrame, versions: DataFrame, keys: list[str], order: list[str], version: str, sql: str = "sql") -> DataFrame:
+    """For each version, how its columns go into the table's one schema: (keys, version, route, target).
 
-    The one schema has a column for each lineage, under its last name and type; if a later column took that name, the
-    older gets the suffix _<lineage>.
+    route is a map name (lower case) -> (to_name, to_type). The one schema has a column for each lineage, under its last
+    name and type; if a later column took that name, the older gets the suffix _<lineage>. target has all columns of the
+    one schema: to_name -> (names it had, to_type, fill), where fill is what a row of this version has in a column that
+    came later: the default stated when it was added, else null.
     """
-    placed = lineages.join(versions.select(version, F.struct(*order).alias("_at")), version)
-    each = placed.select(*keys, version, "_at", F.explode("lineage").alias("c"))
-    last = each.groupBy(*keys, "c.lineage").agg(F.max_by(F.struct("c.name", "c.type"), "_at").alias("_last"), F.max("_at").alias("_end"))
     from pyspark.sql import Window
 
+    stated = stated_defaults(F.col(sql)) if sql in versions.columns else F.create_map().cast("map<string,string>")
+    placed = lineages.join(versions.select(version, F.struct(*order).alias("_at"), stated.alias("_stated")), version)
+    each = placed.select(*keys, version, "_at", F.explode("lineage").alias("c"), F.try_element_at("_stated", F.lower("c.name")).alias("_default"))
+    last = each.groupBy(*keys, "c.lineage").agg(
+        F.max_by(F.struct("c.name", "c.type"), "_at").alias("_last"), F.max("_at").alias("_end"), F.min("_at").alias("_start"), F.min_by("_default", "_at").alias("_default"), F.collect_set(F.lower("c.name")).alias("_names")
+    )
     taken = F.row_number().over(Window.partitionBy(*keys, F.lower("_last.name")).orderBy(F.desc("_end"), F.desc("lineage")))
-    final = last.withColumn("_rank", taken).select(*keys, "lineage", F.when(F.col("_rank") == 1, F.col("_last.name")).otherwise(F.concat_ws("_", "_last.name", F.col("lineage").cast("string"))).alias("to_name"), F.col("_last.type").alias("to_type"))
-    routed = each.select(*keys, version, F.col("c.name").alias("name"), F.col("c.lineage").alias("lineage")).join(final, [*keys, "lineage"])
-    return routed.groupBy(*keys, version).agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("to_name", "to_type")))).alias("route"))
+    to_name = F.when(F.col("_rank") == 1, F.col("_last.name")).otherwise(F.concat_ws("_", "_last.name", F.col("lineage").cast("string")))
+    final = last.withColumn("_rank", taken).select(*keys, "lineage", to_name.alias("to_name"), F.col("_last.type").alias("to_type"), "_start", "_default", "_names")
+    whole = final.groupBy(*keys).agg(F.collect_list(F.struct("to_name", "to_type", "_start", "_default", "_names")).alias("_whole"))
+    routed = each.select(*keys, version, "_at", F.lower("c.name").alias("name"), F.col("c.lineage").alias("lineage")).join(final, [*keys, "lineage"])
+    routes = routed.groupBy(*keys, version, "_at").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("to_name", "to_type")))).alias("route")).join(whole, keys)
+    fill = lambda c: F.when(c["_start"] > F.col("_at"), cast_text(c["_default"], c["to_type"]))
+    target = F.transform("_whole", lambda c: F.struct(c["to_name"].alias("key"), F.struct(c["_names"].alias("names"), c["to_type"].alias("to_type"), fill(c).alias("fill")).alias("value")))
+    return routes.select(*keys, version, "route", F.map_from_entries(target).alias("target"))
 
 
 def cast_text(value: Column, kind: Column) -> Column:
@@ -211,14 +249,31 @@ def cast_text(value: Column, kind: Column) -> Column:
     )
 
 
-def route_image(image: Column, route: Column) -> Column:
-    """An image renamed and cast to the one schema; columns that the version in force does not list keep name and value."""
+def route_image(image: Column, route: Column, target: Column | None = None, extra: Column | None = None) -> Column:
+    """An image renamed and cast to the one schema; columns that the version does not list keep name and value.
+
+    With target (unified_columns) the result has every column of the one schema, and besides these of extra (names):
+    a column that the version does not list goes where that name went in another version, if nothing else does, and a column that is
+    absent gets its fill or null.
+    """
     entries = F.map_entries(image)
 
     def one(e: Column) -> Column:
-        to = F.try_element_at(route, e["key"])
-        return F.struct(F.coalesce(to["to_name"], e["key"]).alias("key"), F.when(to.isNull(), e["value"]).otherwise(cast_text(e["value"], to["to_type"])).alias("value"), to.isNotNull().alias("listed"))
+        to = F.try_element_at(route, F.lower(e["key"]))
+        name, kind = to["to_name"], to["to_type"]
+        if target is not None:
+            other = F.get(F.filter(F.map_entries(target), lambda t: F.array_contains(t["value"]["names"], F.lower(e["key"]))), F.lit(0))
+            name, kind = F.coalesce(name, other["key"]), F.coalesce(kind, other["value"]["to_type"])
+        return F.struct(F.coalesce(name, F.lower(e["key"]) if target is not None else e["key"]).alias("key"), F.when(kind.isNull(), e["value"]).otherwise(cast_text(e["value"], kind)).alias("value"), to.isNotNull().alias("listed"))
 
     moved = F.transform(entries, one)
-    clear = F.filter(moved, lambda e: e["listed"] | ~F.exists(moved, lambda o: o["listed"] & (o["key"] == e["key"])))
-    return F.map_from_entries(F.transform(clear, lambda e: F.struct(e["key"], e["value"])))
+    taken = lambda e, i: F.exists(moved, lambda o: o["listed"] & ~e["listed"] & (o["key"] == e["key"])) | F.exists(F.slice(moved, F.lit(1), i), lambda o: (o["listed"] == e["listed"]) & (o["key"] == e["key"]))
+    clear = F.filter(moved, lambda e, i: ~taken(e, i))
+    clear = F.transform(clear, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    if target is None:
+        return F.map_from_entries(clear)
+    here = F.transform(clear, lambda e: e["key"])
+    fills = F.transform(F.map_entries(target), lambda t: F.struct(t["key"].alias("key"), t["value"]["fill"].alias("value")))
+    absent = F.filter(fills, lambda t: ~F.array_contains(here, t["key"]))
+    names = F.array_except(F.array_except(extra, here), F.map_keys(target))
+    return F.map_from_entries(F.concat(clear, absent, F.transform(names, lambda n: F.struct(n.alias("key"), F.lit(None).cast("string").alias("value")))))

@@ -124,32 +124,41 @@ def p4_unified(spark: SparkSession, sf: str) -> DataFrame:
 
     The version is the one in force if it lists the image's columns. Else (none is recorded yet, or the image is of another
     one) it is the one with the fingerprint of the delivery's own Table.columns, else the table's first. Lists of before the
-    first version that no version has are versions, too (schema_id null)."""
+    first version that no version has are versions, too (schema_id null). Absent columns have the default stated when they were
+    added later, else null (\\N)."""
     lists = _feed_lists(spark, sf)
     kinds = _kinds(spark, sf)
     history = kinds.unionByName(_as_versions(lists).filter("early").drop("early"), allowMissingColumns=True)
     order = [*_VERSION_ORDER, "version_key"]
     versions = drift.schema_versions(history, TABLE_KEY, order, order_hint())
-    routes = drift.unified_columns(drift.lineage(versions, TABLE_KEY, order, "version_key"), versions, TABLE_KEY, order, "version_key")
+    routes = drift.unified_columns(drift.lineage(versions, TABLE_KEY, order, "version_key"), versions, TABLE_KEY, order, "version_key", "sql_text")
 
     place = F.struct("term_no", "change_id", F.struct("version_key", "schema_id", F.transform("kinds", lambda c: c["name"]).alias("names")).alias("version"))
     some = history.filter(F.size("kinds") > 0)
     by_list = some.groupBy(*_LIST_KEY).agg(F.array_sort(F.collect_list(place)).alias("same"))
     first = some.groupBy(*TABLE_KEY).agg(F.min_by(place, F.struct(F.col("schema_id").isNull(), "term_no", "change_id", "schema_id", "version_key"))["version"].alias("first"))
+    named = F.array_distinct(F.flatten(F.collect_list(F.transform("kinds", lambda c: c["name"]))))
+    in_versions = history.groupBy(*TABLE_KEY).agg(named.alias("known"))
+    extra = lists.groupBy(*TABLE_KEY).agg(named.alias("seen")).join(in_versions, TABLE_KEY, "left").select(*TABLE_KEY, F.array_sort(F.array_except("seen", F.coalesce("known", F.array().cast("array<string>")))).alias("extra"))
 
     rows = _in_force(spark, sf, ["delivery_id", "entity", "table_columns"], "kinds")
     rows = rows.withColumn("list_print", drift.kind_fingerprint(F.array_sort(drift.listed_kinds(F.col("table_columns"))))).drop("table_columns")
-    rows = rows.join(small_side(by_list), _LIST_KEY, "left").join(small_side(first), TABLE_KEY, "left")
+    rows = rows.join(small_side(by_list), _LIST_KEY, "left").join(small_side(first), TABLE_KEY, "left").join(small_side(extra), TABLE_KEY, "left")
     before = F.filter("same", lambda v: F.struct(v["term_no"], v["change_id"]) <= F.struct("term_no", "change_id"))
     force = F.when(F.size("version.kinds") > 0, F.struct(F.concat(F.lit("v"), F.col("version.schema_id").cast("string")).alias("version_key"), F.col("version.schema_id").alias("schema_id"), F.transform("version.kinds", lambda c: c["name"]).alias("names")))
     rows = rows.withColumns({"force": force, "listed": F.coalesce(F.try_element_at(before, F.lit(-1)), F.get("same", F.lit(0)))["version"]})
     fits = lambda v: F.when(F.size(F.array_except(F.transform(F.coalesce(F.map_keys("entity"), F.array().cast("array<string>")), F.lower), F.col(f"{v}.names"))) == 0, F.col(v))
     rows = rows.withColumn("chosen", F.coalesce(fits("force"), fits("listed"), fits("first"), "force", "listed", "first"))
 
-    lean = rows.select("delivery_id", *TABLE_KEY, "entity", F.col("chosen.schema_id").alias("schema_id"), F.coalesce("chosen.version_key", F.lit("")).alias("version_key"))
-    routed = skew.fragment_join(lean, routes.select("version_key", "route"), ["version_key"], F.col("delivery_id"), "left")
-    image = F.coalesce(F.when(F.col("route").isNull(), F.col("entity")).otherwise(drift.route_image(F.col("entity"), F.col("route"))), F.create_map().cast("map<string,string>"))
-    text = F.array_join(F.transform(F.array_sort(F.map_keys(image)), lambda k: F.concat_ws("=", k, F.coalesce(F.try_element_at(image, k), F.lit("")))), ";")
+    lean = rows.select("delivery_id", *TABLE_KEY, "entity", "extra", F.col("chosen.schema_id").alias("schema_id"), F.coalesce("chosen.version_key", F.lit("")).alias("version_key"))
+    routed = skew.fragment_join(lean, routes.select("version_key", "route", "target"), ["version_key"], F.col("delivery_id"), "left")
+    none = F.create_map()
+    image = drift.route_image(
+        F.coalesce("entity", none.cast("map<string,string>")), F.coalesce("route", none.cast("map<string,struct<to_name:string,to_type:string>>")),
+        F.coalesce("target", none.cast("map<string,struct<names:array<string>,to_type:string,fill:string>>")), F.coalesce("extra", F.array().cast("array<string>")),
+    )
+    entries = F.array_sort(F.map_entries(image))
+    text = F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit("\\N")))), ";")
     return routed.select("delivery_id", *TABLE_KEY, "schema_id", text.alias("unified_row"))
 
 
