@@ -102,3 +102,23 @@ def test_tables(spark):
         assert sorted(map(repr, ((r.doc_id, r.eval_id) for r in got.collect()))) == sorted(map(repr, want))
     assert leaked(d.limit(0), "doc_id", "text", e, "eval_id", "text").count() == 0
     assert leaked(d, "doc_id", "text", e.limit(0), "eval_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("n", [30, 31, 33, 36, 39])
+def test_three_edits_that_all_windows_share(n):
+    rng = random.Random(n)
+    items = [text(rng, 60) for _ in range(60)]
+    index = PassageIndex(list(range(60)), [" ".join(i) for i in items])
+    hits = 0
+    for k, item in enumerate(items):
+        at = rng.randrange(60 - n)
+        quote = item[at : at + n]
+        if n <= 37:  # positions that every window of 20 words holds
+            for place in rng.sample(range(n - 20, 20), 3):
+                quote[place] = f"zzz{place}"
+        else:
+            quote[20:20] = ["yyy1", "yyy2", "yyy3"]
+        found = index.search(" ".join(text(rng, 50) + quote + text(rng, 50)))
+        hits += k in found
+        assert set(found) <= {k}
+    assert hits >= 58

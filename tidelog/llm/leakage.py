@@ -43,6 +43,8 @@ class PassageIndex:
     def __init__(self, ids: list, texts: list[str | None], width: int = LEAST_WORDS):
         self.width = width
         self.edits = int(width * ALTERED)
+        # Edits that may lie in every window of a quotation: one of less than two windows' length has this budget, and a longer one has a window with no more.
+        self.most = int((2 * width - 1) * ALTERED)
         same: dict[tuple, list] = {}  # items of the same words are one here
         for i, t in zip(ids, texts):
             if len(w := words(t)) >= width:
@@ -104,9 +106,9 @@ class PassageIndex:
         known = np.array([self.vocabulary.get(w, 0) for w in ws], dtype=np.uint64)
         if len(known) < self.width:
             known = np.concatenate([known, np.zeros(self.width - len(known), np.uint64)])
-        # A window with more unknown words than edits cannot hold a passage with at most that many edits.
+        # Some window of a quotation has no more unknown words than this, and no more of the item's words are missing in it.
         unknown = np.concatenate([[0], np.cumsum(known == 0)])
-        starts = np.flatnonzero(unknown[self.width :] - unknown[: -self.width] <= self.edits)
+        starts = np.flatnonzero(unknown[self.width :] - unknown[: -self.width] <= self.most)
         if not len(starts):
             return {}
         every = np.lib.stride_tricks.sliding_window_view(known, self.width)
@@ -119,8 +121,8 @@ class PassageIndex:
             for low in range(0, len(pairs), CHUNK):
                 some = pairs[low : low + CHUNK]
                 a, b = windows[some[:, 0]], self.windows[some[:, 1]]
-                shared = (b[:, :, None] == a[:, None, :]).any(axis=2).sum(axis=1)  # at most `edits` of an item's words may be missing
-                for left, right in some[shared >= self.width - self.edits]:
+                shared = (b[:, :, None] == a[:, None, :]).any(axis=2).sum(axis=1)
+                for left, right in some[shared >= self.width - self.most]:
                     self._verify(int(self.owner[right]), int(here[left] - self.at[right]), known, verified, tried)
         return verified
 
