@@ -122,3 +122,18 @@ def test_three_edits_that_all_windows_share(n):
         hits += k in found
         assert set(found) <= {k}
     assert hits >= 58
+
+
+@pytest.mark.parametrize("where", ["start", "middle", "end"])
+@pytest.mark.parametrize("edits", ["any", "left out at the end"])
+def test_recall_at_the_least_length(where, edits):
+    rng = random.Random(11)
+    items = [text(rng, 60) for _ in range(100)]
+    index = PassageIndex(list(range(100)), [" ".join(i) for i in items])
+    hits = 0
+    for k, item in enumerate(items):
+        at = rng.randrange(40)
+        quote = item[at : at + 20]
+        quote = altered(rng, quote, 2) if edits == "any" else quote[:17] + quote[19:]
+        hits += k in index.search(" ".join(text(rng, 50 * (where != "start")) + quote + text(rng, 50 * (where != "end"))))
+    assert hits >= 95

@@ -104,8 +104,8 @@ class PassageIndex:
         if len(ws) < self.width - self.edits or not self.items:
             return {}
         known = np.array([self.vocabulary.get(w, 0) for w in ws], dtype=np.uint64)
-        if len(known) < self.width:
-            known = np.concatenate([known, np.zeros(self.width - len(known), np.uint64)])
+        # Words left out at the end make a quotation end before its window does.
+        known = np.concatenate([known, np.zeros(max(self.most, self.width - len(known)), np.uint64)])
         # Some window of a quotation has no more unknown words than this, and no more of the item's words are missing in it.
         unknown = np.concatenate([[0], np.cumsum(known == 0)])
         starts = np.flatnonzero(unknown[self.width :] - unknown[: -self.width] <= self.most)
