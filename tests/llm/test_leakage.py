@@ -137,3 +137,8 @@ def test_recall_at_the_least_length(where, edits):
         quote = altered(rng, quote, 2) if edits == "any" else quote[:17] + quote[19:]
         hits += k in index.search(" ".join(text(rng, 50 * (where != "start")) + quote + text(rng, 50 * (where != "end"))))
     assert hits >= 95
+
+
+def test_marks_and_controls_inside_a_word_do_not_count():
+    for c in "\u202a\u202e\u2066\u2069\u061c\u2061\u2064\u180e\u0591\u064b\u200b\u0301\ufe0f\U000e0001":
+        assert words(f"Har{c}bour") == ["harbour"], hex(ord(c))

@@ -12,8 +12,18 @@ _BROKEN = re.compile(f"[ÂÃÄÅã]{_TAIL}|â{_TAIL}{{2}}")
 _TAG = re.compile(r"<[^<>]{0,200}>")
 _WORD = re.compile(r"[^\W_]+")
 _END = re.compile(r"[.!?;。！？]+[\s\"'”’)»]*|\n+|(?:<br\s*/?>)+", re.IGNORECASE)
-# Combining marks and characters without width.
-_MARK = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f\u3099\u309a\u00ad\u200b-\u200f\u2060\ufeff]+")
+
+
+def _class(*spans: range, more: str = "") -> re.Pattern:
+    """Pattern of all combining marks and format characters (Mn, Cf) in some spans of code points."""
+    found = [c for span in spans for c in span if unicodedata.category(chr(c)) in ("Mn", "Cf")]
+    starts = [c for n, c in enumerate(found) if not n or found[n - 1] != c - 1]
+    ends = [c for n, c in enumerate(found) if n + 1 == len(found) or found[n + 1] != c + 1]
+    return re.compile("[" + "".join(f"{chr(x)}-{chr(y)}" for x, y in zip(starts, ends)) + more + "]+")
+
+
+# The planes that have such characters. The class of the characters up to U+FFFF is one table; the others are looked for only where a text has any character beyond.
+_MARK, _HIGH, _HIGH_MARK = _class(range(0x80, 0x10000), more="\u1ab0-\u1aff\u20d0-\u20ff"), re.compile("[\U00010000-\U0010ffff]"), _class(range(0x10000, 0x20000), range(0xE0000, 0xE1000))
 _CJK = re.compile("[぀-ヿ㐀-鿿ｦ-ﾟ]")
 
 
@@ -43,6 +53,8 @@ def words(text: str | None) -> list[str]:
     plain = clean(text)
     if not plain.isascii():
         plain = _MARK.sub("", unicodedata.normalize("NFKD", plain.casefold()))
+        if _HIGH.search(plain):
+            plain = _HIGH_MARK.sub("", plain)
     return _WORD.findall(plain.lower())
 
 
