@@ -91,7 +91,7 @@ def _best_exchange(a: list[int], b: list[int], sizes: list[int], capacity: int)
 
 
 def local_search(bins: list[list[int]], sizes: list[int], capacity: int, rounds: int = ROUNDS, partners: int = PARTNERS) -> list[list[int]]:
-    """Exchange items between underfull bins, each time raising the sum of squared fills, until none helps.
+    """Exchange items between underfull bins, each time raising the sum of squared fills, until none helps or a bound is met.
 
     The emptiest bins give to fuller ones, so that they run empty and go. rounds and partners bound the effort.
     """
@@ -152,7 +152,7 @@ def pack(documents: DataFrame, id_column: str, text: str, capacity: int = CAPACI
     A text of more than capacity tokens is split into full pieces and a rest; no other text is. Method: items are
     spread at random over blocks of about block_items; in each block a first packing is improved by exchanging one item
     for one, two for one, or moving one between underfull bins, each step increasing the squared fill until bins run
-    empty. Only ids and lengths are shuffled. Containers are named block-number.
+    empty or the search meets its bounds (ROUNDS, PARTNERS). Only ids and lengths are shuffled. Containers are named block-number.
 
     Null and empty texts are items of 0 tokens, which share the block's first container; repeated rows are items of
     their own; null ids are kept; an empty table has no containers; other columns are ignored.
