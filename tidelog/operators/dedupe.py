@@ -20,7 +20,7 @@ class CopyStore:
     """Hash-bucketed, sorted runs of records, one record an identity.
 
     Each upsert collapses copies within itself and appends one sorted run to every bucket it touches; compaction reads
-    a bucket's runs as one partition (no exchange: the table is bucketed by the identity's hash), merges them in order
+    a bucket's runs as one partition (no exchange: the table is bucketed by the identity's hash), sorts them in a window
     and keeps the first copy. Upserts are idempotent: a run has its own directory, which a retry replaces, and a run
     applied twice collapses at compaction.
 
