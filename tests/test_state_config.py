@@ -115,3 +115,11 @@ def test_configuration():
 def test_bad_configuration(bad):
     with pytest.raises(ValueError):
         config.SourceConfig(**({"name": "n", "tables": ["a:b"], "host": "h"} | bad))
+
+
+def test_registered_history_keeps_fifty_states(spark, tmp_path):
+    from tidelog.plans import registry
+
+    spark.range(60).selectExpr("'s' as source_id", "id as state_id").write.parquet(f"{tmp_path}/source_states.parquet")
+    kept = registry.queries()["o60_kept_history_full"](spark, str(tmp_path)).collect()
+    assert sorted(r.state_id for r in kept) == list(range(10, 60))

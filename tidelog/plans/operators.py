@@ -240,6 +240,11 @@ def o60_kept_history(spark: SparkSession, sf: str) -> DataFrame:
     return state.kept_history(table(spark, sf, "source_states"), ["source_id"], "state_id", HISTORY).select("source_id", "state_id", "back")
 
 
+def o60_kept_history_full(spark: SparkSession, sf: str) -> DataFrame:
+    """With the operator's own capacity of 50; o60_kept_history has a small one, so that small tables exceed it."""
+    return state.kept_history(table(spark, sf, "source_states"), ["source_id"], "state_id").select("source_id", "state_id", "back")
+
+
 def o61_fenced(spark: SparkSession, sf: str) -> DataFrame:
     return state.fenced(table(spark, sf, "source_states"), ["source_id"], "leader_epoch", "state_id").select("source_id", "state_id", "leader_epoch")
 
@@ -304,7 +309,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         o02_decoded, o03_from_position, o03_from_gtid, o13_known_types, o14_subscribed, o15_unpublished, o15_unpublished_gtid, o15_beyond_states, o16_event_filter, o17_statement_kinds, o18_transaction_marks,
         o22_zipped_rows, o23_table_maps, o23_map_refetches, o24_table_columns, o26_transaction_context, o29_event_header, o30_gtid_canonical, o30_gtid_collapsed, o30_gtid_contained, o31_positions,
         o32_mutations, o35_changed_columns, o36_pk_text, o37_routed, o38_databases, o40_wire_records, o42_joined, o43_counters, o44_histograms, o45_lag_gauge, o48_pool_checkpoint,
-        o55_schemas_until, o57_compress, o58_without_comments, o60_kept_history, o61_fenced, o63_accepted_checkpoints, o64_rollback_targets, o66_event_order, o67_mutation_order,
+        o55_schemas_until, o57_compress, o58_without_comments, o60_kept_history, o60_kept_history_full, o61_fenced, o63_accepted_checkpoints, o64_rollback_targets, o66_event_order, o67_mutation_order,
         o68_schema_violations, o75_delayed, o80_streamed_mutations, type_names,
     )
 }
@@ -428,6 +433,7 @@ w as (select *, min(case when not older then schema_id end) over (partition by s
 select schema_id from o where table_name is null and older union all select schema_id from w where (stop is null or schema_id < stop) and not (schema_id = last and len(column_list) > 0)""",
     "o58_without_comments": """select schema_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(sql_text, '/\\*!(?:\\d{5})?(.*?)\\*/', '\\1', 'g'), '/\\*.*?\\*/', ' ', 'gs'), '[ \\t]+', ' ', 'g'), '^\\s+', '') as statement from schema_history where sql_text is not null""",
     "o60_kept_history": """select source_id, state_id, cast(rn as integer) as back from (select *, row_number() over (partition by source_id order by state_id desc) as rn from source_states) where rn <= 5""",
+    "o60_kept_history_full": """select source_id, state_id, cast(rn as integer) as back from (select *, row_number() over (partition by source_id order by state_id desc) as rn from source_states) where rn <= 50""",
     "o61_fenced": """select source_id, state_id, leader_epoch from (select *, row_number() over (partition by source_id order by leader_epoch desc nulls last, state_id desc) as rn from source_states) where rn = 1""",
     "o63_accepted_checkpoints": """select state_id, last_offset from (select *, max(last_offset) over (partition by source_id, coalesce(lower(trim(server_uuid)), '') order by state_id rows between unbounded preceding and 1 preceding) as high from source_states) where high is null or last_offset > high""",
     "o64_rollback_targets": """select source_id, cast(log2(rn + 1) as integer) as attempt, state_id from (select *, row_number() over (partition by source_id order by state_id desc) as rn from source_states) where rn in (1, 3, 7, 15, 31)""",
