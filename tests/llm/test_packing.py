@@ -65,3 +65,50 @@ def test_documents_with_dirty_texts(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
+
+
+def test_search_has_no_cap_on_partners():
+    """Items of a quarter to a half container: hardly any bin can be filled, so all bins stay partners of each other."""
+    rng = random.Random(2)
+    sizes = [rng.randint(1100, 2300) for _ in range(2000)]
+    start = packing.fit_decreasing(sizes, 4096)
+    done = packing.local_search(start, sizes, 4096)
+    assert sorted(i for b in done for i in b) == list(range(2000))
+    assert max(sum(sizes[i] for i in b) for b in done) <= 4096
+    assert len(start) == 889 and len(done) <= 869  # 869: the same search, plainly over all pairs of bins
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_no_exchange_helps_in_the_end(seed):
+    """Brute force over all moves, one-for-one, two-for-one and one-for-two exchanges of the result."""
+    rng = random.Random(seed)
+    sizes = [rng.randrange(20, 70) for _ in range(24)]
+    bins = packing.local_search([[i] for i in range(24)], sizes, 100)
+    if len(bins) <= -(-sum(sizes) // 100):
+        return
+    fill = [sum(sizes[i] for i in b) for b in bins]
+    for a, x in zip(bins, fill):
+        for b, y in zip(bins, fill):
+            if a is b or x == 100 or y == 100:
+                continue
+            for out in packing._takeable(a)[1:]:
+                for back in packing._takeable(b):
+                    d = sum(sizes[i] for i in out) - sum(sizes[i] for i in back)
+                    if len(out) + len(back) <= 3 and max(x - d, y + d) <= 100:
+                        assert (x - d) ** 2 + (y + d) ** 2 <= x * x + y * y
+
+
+def test_null_ids_and_copies_spread_over_blocks(spark):
+    df = spark.createDataFrame([(None, "the same text")] * 400 + [(7, "the same text")] * 400, "doc_id long, text string").repartition(4)
+    rows = packing.pack(df, "doc_id", "text", capacity=16, block_items=100).collect()
+    assert len(rows) == 800
+    per_block = defaultdict(int)
+    for r in rows:
+        per_block[r.container.split("-")[0]] += 1
+    assert len(per_block) == 8 and max(per_block.values()) < 200
+
+
+def test_full_pieces_are_containers_of_their_own(spark):
+    rows = packing.pack(spark.createDataFrame([(1, "a b " * 40), (1, "a b " * 40)], "doc_id long, text string"), "doc_id", "text", capacity=16).collect()
+    full = [r.container for r in rows if r.n_tokens == 16]
+    assert len(full) == len(set(full)) and sum(r.n_tokens for r in rows) == 2 * packing.token_counter(packing.TOKENIZER)(["a b " * 40])[0]
