@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import pytest
 
 pytest.importorskip("tidelog.llm")
@@ -66,3 +68,42 @@ def test_acquisition_and_calibration():
     assert cuts == [1.5, 2.5, 3.5, 4.5]
     noisy = reading.calibrate([(2.8, 3), (2.9, 4), (3.0, 3), (3.1, 3), (4.4, 4), (4.5, 3), (4.6, 5), (4.7, 5)])
     assert 3.1 < noisy[2] < 4.4
+
+
+def test_texts_together_and_alone_have_the_same_level(model, monkeypatch):
+    texts = [t for _, t, _, _ in corpus(4, 60)] + [None, "", "qqq", "とても使いやすいです。"]
+    alone = [model.level(t) for t in texts]
+    assert model.levels(texts) == alone
+    monkeypatch.setattr(reading, "PIECE", 40)
+    assert model.levels(texts) == alone
+
+
+def test_no_known_word_is_left_out():
+    """Sentences with few known words are read together with their neighbours, within their text."""
+    joined = reading.ReadingModel._joined
+    texts = [0, 0, 0, 0, 1, 2, 2, 2]
+    assert joined(np.array([9, 1, 2, 5, 1, 6, 7, 2]), np.array(texts)).tolist() == [0, 1, 1, 1, 2, 3, 4, 4]
+    assert joined(np.array([1, 1, 1]), np.array([0, 0, 0])).tolist() == [0, 0, 0]
+    assert joined(np.array([5, 1, 1, 4]), np.array([0, 0, 0, 1])).tolist() == [0, 0, 0, 1]
+
+
+def test_short_hard_sentences_count(model):
+    rare = HARD[0].split()
+    assert model.level(". ".join(rare))[0] >= 4  # a word a sentence
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_quantiles_equal_numpy(seed):
+    rng = np.random.default_rng(seed)
+    group, values = rng.integers(0, 9, 60), rng.random(60).round(1)
+    got = reading._quantiles(values, group, 10, reading.QUANTILES)
+    for g in range(10):
+        want = np.quantile(values[group == g], reading.QUANTILES) if (group == g).any() else [np.nan] * len(reading.QUANTILES)
+        assert got[g] == pytest.approx(want, nan_ok=True)
+
+
+def test_each_level_takes_the_quantile_that_tells_it():
+    rng = random.Random(5)
+    scored = [([1.0 + (g >= 3) + rng.random() * 0.1, 3.0 * rng.random()], g) for g in rng.choices([1, 2, 3, 4, 5], k=300)]
+    assert reading.calibrate_quantiles(scored, (0.4, 0.9))[1][0] == 0.4
+    assert 1.1 <= reading.calibrate_quantiles(scored, (0.4, 0.9))[1][1] <= 2.0

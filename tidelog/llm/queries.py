@@ -48,5 +48,13 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return p10_levels(spark, sf).filter("level >= 4").select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p8_found, p8_packed, p8_fill, p9_found, p9_leaks, p10_found, p10_levels)}
-SQL: dict[str, str] = {}
+def p10_grades(spark: SparkSession, sf: str) -> DataFrame:
+    """The grade of each graded text: what the model is fitted on."""
+    return reading.text_grades(_table(spark, sf, "reading_labels"), "doc_id", "grader", "grade_level")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p8_found, p8_packed, p8_fill, p9_found, p9_leaks, p10_found, p10_levels, p10_grades)}
+SQL: dict[str, str] = {
+    "p10_grades": """select doc_id, cast(floor(avg(g) + 0.5) as integer) as grade from (
+  select doc_id, grader, avg(grade_level) as g from reading_labels where doc_id is not null and grade_level between 1 and 5 group by doc_id, grader) group by doc_id""",
+}

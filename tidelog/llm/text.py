@@ -9,22 +9,29 @@ import unicodedata
 # Characters that UTF-8 continuation bytes turn into when read as Windows-1252.
 _TAIL = "[\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
 _BROKEN = re.compile(f"[ÂÃÄÅã]{_TAIL}|â{_TAIL}{{2}}")
-_TAG = re.compile(r"<[^<>]{0,200}>")
-_WORD = re.compile(r"[^\W_]+")
-_END = re.compile(r"[.!?;。！？]+[\s\"'”’)»]*|\n+|(?:<br\s*/?>)+", re.IGNORECASE)
+#: Markup of any length: a sign < that a name, a slash, ! or ? follows. A comparison (a < b) is text.
+_TAG = re.compile(r"<[A-Za-z/!?][^<>]*>")
+_BREAK = re.compile(r"<br\s*/?>", re.IGNORECASE)
+_OTHER = re.compile("[^\x00-\x7f]")
+_CJK = re.compile("[぀-ヿ㐀-鿿ｦ-ﾟ]")
+_LETTER = re.compile(r"[^\W_]")
 
 
-def _class(*spans: range, more: str = "") -> re.Pattern:
-    """Pattern of all combining marks and format characters (Mn, Cf) in some spans of code points."""
-    found = [c for span in spans for c in span if unicodedata.category(chr(c)) in ("Mn", "Cf")]
-    starts = [c for n, c in enumerate(found) if not n or found[n - 1] != c - 1]
-    ends = [c for n, c in enumerate(found) if n + 1 == len(found) or found[n + 1] != c + 1]
-    return re.compile("[" + "".join(f"{chr(x)}-{chr(y)}" for x, y in zip(starts, ends)) + more + "]+")
+class _Plain(dict):
+    """What a character beyond ASCII becomes: lower case without accents; nothing for marks and format characters; a blank for what is no
+    letter or digit. Made when first asked for."""
 
+    def __missing__(self, c: str) -> str:
+        found = [x for x in unicodedata.normalize("NFKD", c.casefold()).lower() if unicodedata.category(x) not in ("Mn", "Cf")]
+        self[c] = "".join(x if x.isascii() or x.isalnum() else " " for x in found)
+        return self[c]
 
-# The planes that have such characters. The class of the characters up to U+FFFF is one table; the others are looked for only where a text has any character beyond.
-_MARK, _HIGH, _HIGH_MARK = _class(range(0x80, 0x10000), more="\u1ab0-\u1aff\u20d0-\u20ff"), re.compile("[\U00010000-\U0010ffff]"), _class(range(0x10000, 0x20000), range(0xE0000, 0xE1000))
-_CJK = re.compile("[぀-ヿ㐀-鿿ｦ-ﾟ]")
+
+_PLAIN = _Plain({"。": ".", "…": " "})
+_ENDS = b".!?;\n\r"
+#: Lower case; all that is no letter or digit is a blank. With ends: sentence ends are line ends.
+_WORDS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in (ord(chr(b).lower()) if b < 128 else b for b in range(256)))
+_SENTENCES = bytes(10 if b in _ENDS else _WORDS[b] for b in range(256))
 
 
 def _whole(m: re.Match) -> str:
@@ -48,23 +55,36 @@ def clean(text: str | None) -> str:
     return _TAG.sub(" ", text) if "<" in text else text
 
 
+def _plain(text: str, table: bytes) -> bytes:
+    if not text.isascii():
+        text = _OTHER.sub(lambda m: _PLAIN[m[0]], text)
+    return text.encode("utf-8", "replace").translate(table)
+
+
+def word_bytes(text: str | None) -> list[bytes]:
+    """words() in UTF-8, which costs less."""
+    return _plain(clean(text), _WORDS).split()
+
+
 def words(text: str | None) -> list[str]:
     """Words in lower case without accents, marks, punctuation and markup."""
-    plain = clean(text)
-    if not plain.isascii():
-        plain = _MARK.sub("", unicodedata.normalize("NFKD", plain.casefold()))
-        if _HIGH.search(plain):
-            plain = _HIGH_MARK.sub("", plain)
-    return _WORD.findall(plain.lower())
+    return [w.decode() for w in word_bytes(text)]
 
 
-def sentences(text: str | None) -> list[list[str]]:
-    """Words of each sentence; sentences end at . ! ? ; line ends and breaks."""
+def sentence_bytes(text: str | None) -> list[list[bytes]]:
+    """Words of each sentence in UTF-8; sentences end at . ! ? ; line ends and breaks."""
     if not text:
         return []
-    return [w for s in _END.split(text if "&" not in text else html.unescape(text)) if (w := words(s))]
+    if "&" in text:
+        text = html.unescape(html.unescape(text))
+    if "<" in text:
+        text = _BREAK.sub("\n", text)
+    return [w for s in _plain(clean(text), _SENTENCES).split(b"\n") if (w := s.split())]
 
 
 def mostly_cjk(text: str | None) -> bool:
     """Whether Chinese or Japanese characters are at least a third of all letters."""
-    return bool(text) and 3 * len(_CJK.findall(text)) >= sum(map(len, _WORD.findall(text)))
+    if not text or text.isascii():
+        return False
+    some = len(_CJK.findall(text))
+    return some > 0 and 3 * some >= len(_LETTER.findall(text))
