@@ -142,3 +142,44 @@ def test_recall_at_the_least_length(where, edits):
 def test_marks_and_controls_inside_a_word_do_not_count():
     for c in "\u202a\u202e\u2066\u2069\u061c\u2061\u2064\u180e\u0591\u064b\u200b\u0301\ufe0f\U000e0001":
         assert words(f"Har{c}bour") == ["harbour"], hex(ord(c))
+
+
+@pytest.mark.parametrize("n", [20, 23, 29, 30, 33, 37, 39, 40, 45, 50, 60])
+def test_recall_by_length_and_edits(n):
+    """Edits of all kinds, at random places, side by side and evenly spread: what the exact check accepts is found."""
+    rng = random.Random(n)
+    items = [text(rng, 80) for _ in range(100)]
+    index = PassageIndex(list(range(100)), [" ".join(i) for i in items])
+    docs, want = [], []
+    for e in range(n // 10 + 1):
+        for places in ("random", "together", "spread"):
+            for _ in range(20):
+                k, at = rng.randrange(100), rng.randrange(81 - n)
+                quote = items[k][at : at + n]
+                first = rng.randrange(1, n - 1 - e)
+                chosen = rng.sample(range(1, n - 1), e) if places == "random" else range(first, first + e) if places == "together" else [min(n - 2, 1 + (i + 1) * (n - 2) // (e + 1)) for i in range(e)]
+                for p in sorted(chosen, reverse=True):
+                    quote[p : p + rng.choice([0, 1, 1])] = rng.choice([["zzz"], [rng.choice(VOCABULARY)], []])
+                docs.append(" ".join(text(rng, rng.randrange(40)) + quote + text(rng, rng.randrange(40))))
+                want.append(k)
+    found = {(place, k) for place, k, _ in index.search_all(docs)}
+    number = lambda ws: [int(index.hashes[index.numbers.get(w.encode(), 0)]) for w in ws]
+    accepted = [(place, k) for place, k in enumerate(want) if (place, k) in found or quotation(number(items[k]), number(docs[place].split()), 20)]
+    assert sum(pair in found for pair in accepted) >= 0.99 * len(accepted)
+    assert len(accepted) >= 0.9 * len(docs)
+
+
+def test_one_text_at_a_time_and_all_together_give_the_same():
+    rng = random.Random(12)
+    items = [text(rng, 50) for _ in range(20)]
+    index = PassageIndex(list(range(20)), [" ".join(i) for i in items])
+    docs = [None, "", "short"] + [" ".join(text(rng, 30) + altered(rng, items[k][5:35], k % 3) + text(rng, rng.randrange(3)) + items[(k + 7) % 20]) for k in range(20)]
+    assert sorted(index.search_all(docs)) == sorted((p, n, hit) for p, d in enumerate(docs) for n, hit in index.search(d).items())
+
+
+def test_markup_of_any_length_and_comparisons():
+    item = [f"word{i}" for i in range(30)]
+    index = PassageIndex([1], [" ".join(item)])
+    tag = '<a href="https://example.org/' + "very/long/path/" * 60 + '">'
+    assert 0 in index.search(" ".join(item[:15]) + tag + " ".join(item[15:]))
+    assert words("3 < 4 and 5 > 2 <3 <!-- note --> <br/>end") == ["3", "4", "and", "5", "2", "3", "end"]
