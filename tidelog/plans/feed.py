@@ -31,7 +31,7 @@ def with_term(df: DataFrame, data_sources: DataFrame) -> DataFrame:
     servers = data_sources.filter(F.col("source_id").isNotNull() & F.col("term_no").isNotNull()).select("source_id", F.coalesce(canonical_uuid("server_uuid"), F.lit("")).alias("u"), F.col("term_no").cast("int").alias("t"))
     by_source = servers.groupBy("source_id", "u").agg(F.min("t").alias("t")).groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("u", "t"))).alias("_terms"), F.when(F.count("*") == 1, F.max("t")).alias("_only"))
     named = F.try_element_at("_terms", F.coalesce(canonical_uuid("server_uuid"), F.lit("")))
-    return df.drop("term_no").join(small_side(by_source), "source_id", "left").withColumn("term_no", F.coalesce("_only", named, F.lit(0))).drop("_terms", "_only")
+    return df.drop("term_no").join(small_side(by_source, at_most=data_sources), "source_id", "left").withColumn("term_no", F.coalesce("_only", named, F.lit(0))).drop("_terms", "_only")
 
 
 def order_hint(term: str = "term_no", change: str = "change_id") -> Column:

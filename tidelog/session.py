@@ -27,18 +27,36 @@ def build_session(app: str = "tidelog", cores: int | str = "*", **conf: str) ->
     return SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=settings).getOrCreate()
 
 
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A fresh path below the folder that all executors share.
+_own_root: list[str] = []
+
 
-    The cluster names that folder in spark.checkpoint.dir. Only where the setting is missing (tests, a laptop) is a
-    temporary folder made; it is removed when the process ends.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: the cluster names it in spark.checkpoint.dir.
+
+    Only in local mode (tests, a laptop), where one machine is all there is, a temporary folder stands in for a missing setting; it is
+    removed when the process ends. The session's settings are not changed. On a cluster a missing setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tidelog-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tidelog/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex[:12]}"
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    if not _own_root:
+        _own_root.append(tempfile.mkdtemp(prefix="tidelog-"))
+        atexit.register(shutil.rmtree, _own_root[0], ignore_errors=True)
+    return _own_root[0]
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A fresh path for this application below the shared folder; see remove_working_tables()."""
+    return f"{shared_root(spark)}/tidelog/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_working_tables(spark: SparkSession) -> None:
+    """Remove all that shared_folder() has given to this application. DataFrames that read it must have been computed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/tidelog/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -46,12 +64,14 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, at_most: DataFrame | None = None) -> DataFrame:
     """Mark df for broadcasting if a count proves that it has at most max_rows rows, else return it unmarked.
 
-    The count stops after max_rows + 1 rows. An unmarked side gets whatever join the planner picks.
+    The count stops after max_rows + 1 rows. at_most: a DataFrame that has as many rows as df or more and is cheaper to count. An
+    unmarked side gets whatever join the planner picks.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    proof = df if at_most is None else at_most
+    return F.broadcast(df) if proof.limit(max_rows + 1).count() <= max_rows else df
 
 
 def spread_out(df: DataFrame) -> DataFrame:
