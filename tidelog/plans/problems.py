@@ -53,12 +53,14 @@ def p2_unique(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Through a ledger whose items are pieces of the sources' logs, seeded from the states that earlier runs have saved."""
     sources = table(spark, sf, "data_sources")
-    marks = with_term(ledger.last_valid_states(table(spark, sf, "source_states")), sources).select("source_id", F.col("term_no").alias("done_term"), "done_offset")
+    states = with_term(table(spark, sf, "source_states"), sources).withColumn("saved_ms", F.unix_millis(F.col("saved_at").cast("timestamp")))
     rows = with_order(_identified(spark, sf), sources).select(*IDENTITY, "term_no", "change_id", "delivered_at", "delivery_id")
-    new = ledger.beyond(rows, marks).withColumn("item", ledger.item_name("source_id", "term_no", F.shiftright("change_id", 32)))
+    rows = rows.withColumn("item", ledger.item_name("source_id", "term_no", F.shiftright("change_id", 32)))
+    items = rows.groupBy("item", "source_id", "term_no").agg(F.min("change_id").alias("low"), F.max("change_id").alias("high"))
     once = lambda df: dedupe.first_copies(df, IDENTITY, ["delivered_at", "delivery_id"])
-    return ledger.process_new(spark, new, once, ["delivery_id"])
+    return ledger.process_new(spark, rows, once, ["delivery_id"], known=ledger.run_events(states, items), offset="change_id")
 
 
 def _versions(spark: SparkSession, sf: str) -> DataFrame:
