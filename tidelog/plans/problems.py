@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.positions import canonical_uuid
 from tidelog.operators import asof, dedupe, drift, history, ledger, replay, skew
 from tidelog.operators.asof import previous_row
+from tidelog.operators.skew import plan_order
 from tidelog.plans.feed import DELETE, IDENTITY, INSERT, ORDER, ROW_KEY, TABLE_KEY, UPDATE, full_image, order_hint, pk_value, table, version_order, with_order, with_term
 from tidelog.session import shared_folder, small_side
 
@@ -181,7 +182,8 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.withColumn("pk_value", pk_value()).filter(F.col("pk_value").isNotNull())
     keys = ["source_id", "pk_value"]
     states = history.snapshots(rows, keys, "ts_ms", ORDER, F.col("mutation_type") != DELETE, {c: F.try_element_at("entity", F.lit(c)) for c in HISTORY_COLUMNS})
-    periods = history.validity(states, keys, "ts_ms")
+    plan = plan_order(rows, keys, F.col("ts_ms").cast("double"))  # of the changes themselves: their states are made once
+    periods = history.validity(states, keys, "ts_ms", plan)
     return periods.select(*keys, F.col("valid_from").alias("valid_from_ms"), F.coalesce("valid_to", F.lit(-1)).cast("long").alias("valid_to_ms"))
 
 
