@@ -24,10 +24,21 @@ def test_large_key_is_split_and_small_keys_are_packed(uneven):
 
 
 def test_aggregate_equals_plain_group_by(uneven):
-    plan = skew.plan_fragments(uneven, ["key"], tasks=6, min_task_rows=100)
-    got = skew.fragment_aggregate(uneven, ["key"], {"c": F.count("*"), "s": F.sum("n")}, {"c": F.sum("c"), "s": F.sum("s")}, F.col("n"), plan)
-    want = uneven.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    parts = skew.partial_rows(uneven, ["key"], {"c": F.count("*"), "s": F.sum("n"), "m": F.max("n")})
+    assert parts.filter("key = 'hot'").count() <= uneven.rdd.getNumPartitions()
+    want = uneven.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.max("n").alias("m"))
+    for least in (1, 20_000):  # with split keys, and without
+        plan = skew.plan_fragments(parts, ["key"], tasks=6, min_task_rows=least)
+        got = skew.fragment_aggregate(parts, ["key"], {"c": F.sum("c"), "s": F.sum("s"), "m": F.max("m")}, plan=plan)
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
+def test_plan_moves_the_partial_rows_of_an_aggregate(uneven):
+    parts = skew.partial_rows(uneven, ["key"], {"c": F.count("*")})
+    plan = skew.fragment_aggregate(parts, ["key"], {"c": F.sum("c")})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Exchange shufflepartitionidpassthrough") == 1
+    with pytest.raises(ValueError, match="avg"):
+        skew.fragment_aggregate(parts, ["key"], {"c": F.avg("c")}, plan=skew.plan_fragments(uneven, ["key"], tasks=6, min_task_rows=100))
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -57,7 +68,7 @@ def test_join_needs_no_exchange_beyond_the_planned_ones(spark, uneven):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "key string, n long")
     plan = skew.plan_fragments(none, ["key"], tasks=3)
-    assert skew.fragment_aggregate(none, ["key"], {"c": F.count("*")}, {"c": F.sum("c")}, F.col("n"), plan).count() == 0
+    assert skew.fragment_aggregate(skew.partial_rows(none, ["key"], {"c": F.count("*")}), ["key"], {"c": F.sum("c")}, plan=plan).count() == 0
     assert not any(skew.plan_order(none, ["key"], F.col("n").cast("double")).cuts)
 
 

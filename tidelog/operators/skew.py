@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.session import parallelism
+from tidelog.session import parallelism, shared_folder
 
 SLOTS = 4096
 #: A task is not made smaller than this many rows.
@@ -98,16 +98,40 @@ def plan_fragments(df: DataFrame, keys: list[str], tasks: int | None = None, slo
     return FragmentPlan(tuple(keys), tasks, first, count, owners)
 
 
-def fragment_aggregate(df: DataFrame, keys: list[str], partial: dict[str, Column], merge: dict[str, Column], spread: Column, plan: FragmentPlan | None = None) -> DataFrame:
-    """Aggregate by keys in two steps: by (key, task of the plan), then the few partial rows of each key.
+def partial_rows(df: DataFrame, keys: list[str], partial: dict[str, Column]) -> DataFrame:
+    """Partial aggregates of keys, one row a key and input partition, in a working table in the shared folder.
 
-    partial: aggregates over rows; merge: aggregates over the partial columns, with the same names. Spark combines on
-    the map side before the first exchange, so a heavy key sends at most one row a map task and fragment.
-    Null keys form groups of their own. Extra columns are ignored. An empty df gives no rows.
+    However many rows a key has, at most one of them a partition is left to be moved, and its partitions' rows go to different tasks. The
+    table is what plans are made of (it holds just what they place) and what they are applied to, so df is read once.
     """
-    plan = plan or plan_fragments(df, keys)
-    parts = df.groupBy(*keys, plan.task(spread).alias("_task")).agg(*[c.alias(n) for n, c in partial.items()])
-    return parts.groupBy(*keys).agg(*[c.alias(n) for n, c in merge.items()])
+    path = shared_folder(df.sparkSession, "partial")
+    parts = df.groupBy(*keys, F.spark_partition_id().alias("_part")).agg(*[c.alias(n) for n, c in partial.items()]).drop("_part")
+    parts.write.parquet(path)
+    return df.sparkSession.read.schema(parts.schema).parquet(path)
+
+
+def fragment_aggregate(parts: DataFrame, keys: list[str], merge: dict[str, Column], spread: Column | None = None, plan: FragmentPlan | None = None) -> DataFrame:
+    """Aggregate partial rows by keys: each fragment of a key by the task that the plan gives it, then the fragments of split keys.
+
+    parts: what partial_rows() gives, by these keys or finer ones. merge: aggregates over its columns, which can be applied to their own
+    results under the same names (sum, max and the like; a column that another merge makes must have its name). spread: picks among a split
+    key's fragments; default: all columns. Null keys form groups of their own. Extra columns are ignored. No rows give no rows.
+    """
+    plan = plan or plan_fragments(parts, keys)
+    spread = spread if spread is not None else F.xxhash64(*parts.columns)
+    placed = parts.withColumn("_task", plan.task(spread)).repartitionById(plan.tasks, F.col("_task"))
+    merged = placed.groupBy(*keys, "_task").agg(*[c.alias(n) for n, c in merge.items()])  # as the rows lie: no exchange
+    if max(plan.count) == 1:
+        return merged.drop("_task")
+    return merged.groupBy(*keys).agg(*[_again(c, n).alias(n) for n, c in merge.items()])
+
+
+def _again(merge: Column, name: str) -> Column:
+    """The same kind of aggregate (sum, min, max) over its own result."""
+    kind = merge._jc.toString().split("(")[0].lower()
+    if kind not in ("sum", "min", "max", "bool_or", "bool_and", "bit_or", "bit_and"):
+        raise ValueError(f"{kind} cannot be applied to its own results")
+    return F.call_function(kind, F.col(name))
 
 
 def fragment_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "inner", plan: FragmentPlan | None = None) -> DataFrame:

@@ -188,15 +188,14 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _key_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Deliveries of each key and of its source. Both are aggregated over planned fragments; the source's total (the
-    matching side) is then replicated to the fragments that hold the source's keys."""
-    rows = table(spark, sf, "mutations").select(*TABLE_KEY, pk_value().alias("pk_value"), "delivery_id")
-    spread = F.col("delivery_id")
-    counts = skew.fragment_aggregate(rows, ROW_KEY, {"n": F.count("*")}, {"n": F.sum("n")}, spread)
-    plan = skew.plan_fragments(rows, ["source_id"])
-    totals = skew.fragment_aggregate(rows, ["source_id"], {"source_rows": F.count("*")}, {"source_rows": F.sum("source_rows")}, spread, plan)  # reads no images
+    """Deliveries of each key and of its source. The feed is read once: partial counts are what moves, and what the plans weigh. The
+    sources' totals (the matching side) are replicated to the fragments that hold a source's keys."""
+    rows = table(spark, sf, "mutations").select(*TABLE_KEY, pk_value().alias("pk_value"))
+    parts = skew.partial_rows(rows, ROW_KEY, {"n": F.count("*")})
+    counts = skew.fragment_aggregate(parts, ROW_KEY, {"n": F.sum("n")})
+    totals = skew.fragment_aggregate(parts, ["source_id"], {"source_rows": F.sum("n")})
     keyed = counts.filter(F.col("pk_value").isNotNull())
-    return skew.fragment_join(keyed, totals, ["source_id"], F.xxhash64(*ROW_KEY), plan=plan)
+    return skew.fragment_join(keyed, totals, ["source_id"], F.xxhash64(*ROW_KEY), plan=skew.plan_fragments(parts, ["source_id"]))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
