@@ -238,42 +238,83 @@ def unified_columns(lineages: DataFrame, versions: DataFrame, keys: list[str], o
     return routes.select(*keys, version, "route", F.map_from_entries(target).alias("target"))
 
 
-def cast_text(value: Column, kind: Column) -> Column:
-    """A value in the canonical text of a column type; what the type cannot hold stays as it is (a drift never loses data)."""
+#: Classes of column types by how a value's text is made canonical: whole numbers, floating ones, times; 0 stands for all others.
+_CLASSES = {1: r"^(tinyint|smallint|mediumint|int|bigint)", 2: r"^(float|double)", 3: r"^(datetime|timestamp)"}
+
+
+def _class(kind: Column) -> Column:
+    found = F.lit(0)
+    for n, pattern in _CLASSES.items():
+        found = F.when(kind.rlike(pattern), n).otherwise(found)
+    return found
+
+
+def _cast(value: Column, group: Column) -> Column:
     number = F.coalesce(value.try_cast("decimal(38,0)").cast("string"), value)
     return (
-        F.when(kind.rlike(r"^(tinyint|smallint|mediumint|int|bigint)"), F.when(value.rlike(r"^\s*[+-]?\d+\s*$"), number).otherwise(value))
-        .when(kind.rlike(r"^(float|double)"), F.coalesce(value.try_cast("double").cast("string"), value))
-        .when(kind.rlike(r"^(datetime|timestamp)"), F.coalesce(F.date_format(value.try_cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss"), value))
+        F.when(group == 1, F.when(value.rlike(r"^\s*[+-]?\d+\s*$"), number).otherwise(value))
+        .when(group == 2, F.coalesce(value.try_cast("double").cast("string"), value))
+        .when(group == 3, F.coalesce(F.date_format(value.try_cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss"), value))
         .otherwise(value)
     )
 
 
-def route_image(image: Column, route: Column, target: Column | None = None, extra: Column | None = None) -> Column:
-    """An image renamed and cast to the one schema; columns that the version does not list keep name and value.
+def cast_text(value: Column, kind: Column) -> Column:
+    """A value in the canonical text of a column type; what the type cannot hold stays as it is (a drift never loses data)."""
+    return _cast(value, _class(kind))
 
-    With target (unified_columns) the result has every column of the one schema, and besides these of extra (names):
-    a column that the version does not list goes where that name went in another version, if nothing else does, and a column that is
-    absent gets its fill or null.
-    """
-    entries = F.map_entries(image)
+
+def route_image(image: Column, route: Column) -> Column:
+    """An image renamed and cast to the one schema; columns that the version does not list keep name and value."""
 
     def one(e: Column) -> Column:
         to = F.try_element_at(route, F.lower(e["key"]))
-        name, kind = to["to_name"], to["to_type"]
-        if target is not None:
-            other = F.get(F.filter(F.map_entries(target), lambda t: F.array_contains(t["value"]["names"], F.lower(e["key"]))), F.lit(0))
-            name, kind = F.coalesce(name, other["key"]), F.coalesce(kind, other["value"]["to_type"])
-        return F.struct(F.coalesce(name, F.lower(e["key"]) if target is not None else e["key"]).alias("key"), F.when(kind.isNull(), e["value"]).otherwise(cast_text(e["value"], kind)).alias("value"), to.isNotNull().alias("listed"))
+        return F.struct(F.coalesce(to["to_name"], e["key"]).alias("key"), F.when(to.isNull(), e["value"]).otherwise(cast_text(e["value"], to["to_type"])).alias("value"), to.isNotNull().alias("listed"))
 
-    moved = F.transform(entries, one)
+    moved = F.transform(F.map_entries(image), one)
     taken = lambda e, i: F.exists(moved, lambda o: o["listed"] & ~e["listed"] & (o["key"] == e["key"])) | F.exists(F.slice(moved, F.lit(1), i), lambda o: (o["listed"] == e["listed"]) & (o["key"] == e["key"]))
-    clear = F.filter(moved, lambda e, i: ~taken(e, i))
-    clear = F.transform(clear, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    if target is None:
-        return F.map_from_entries(clear)
-    here = F.transform(clear, lambda e: e["key"])
-    fills = F.transform(F.map_entries(target), lambda t: F.struct(t["key"].alias("key"), t["value"]["fill"].alias("value")))
-    absent = F.filter(fills, lambda t: ~F.array_contains(here, t["key"]))
-    names = F.array_except(F.array_except(extra, here), F.map_keys(target))
-    return F.map_from_entries(F.concat(clear, absent, F.transform(names, lambda n: F.struct(n.alias("key"), F.lit(None).cast("string").alias("value")))))
+    return F.map_from_entries(F.transform(F.filter(moved, lambda e, i: ~taken(e, i)), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+
+
+PLAN = "array<struct<name:string,names:array<string>,kind:int,fill:string>>"
+
+
+def column_plan(route: Column, target: Column, extra: Column) -> Column:
+    """How an image of a version becomes a row of the one schema: its columns in the order of their names, each with the names under which an
+    image may have it, the class of its type, and what stands for it if it is absent.
+
+    route, target: from unified_columns(). A column that the version lists is taken from there first; a name that it does not list goes
+    where that name went in another version (the first column by name, if it went to several). extra: names that no version has.
+    Plans are made once a version: rows only look them up.
+    """
+    columns = F.array_sort(F.map_entries(target))
+    own = lambda c: F.transform(F.filter(F.map_entries(route), lambda e: e["value"]["to_name"] == c["key"]), lambda e: e["key"])
+    stray = lambda c, i: F.filter(F.array_sort(c["value"]["names"]), lambda n: ~F.map_contains_key(route, n) & ~F.exists(F.slice(columns, F.lit(1), i), lambda d: F.array_contains(d["value"]["names"], n)))
+    planned = F.transform(columns, lambda c, i: F.struct(c["key"].alias("name"), F.concat(own(c), stray(c, i)).alias("names"), _class(c["value"]["to_type"]).alias("kind"), c["value"]["fill"].alias("fill")))
+    taken = F.flatten(F.transform(planned, lambda c: F.concat(c["names"], F.array(c["name"]))))
+    return F.array_sort(F.concat(planned, extra_plan(F.array_except(extra, taken)))).cast(PLAN)
+
+
+def extra_plan(names: Column) -> Column:
+    return F.transform(names, lambda n: F.struct(n.alias("name"), F.array(n).alias("names"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("fill"))).cast(PLAN)
+
+
+def planned_image(image: Column, plan: Column) -> Column:
+    """Array of (name, value) in the order of names: all columns of the plan, and what else the image has under its own name. Null image: empty.
+
+    Names are compared in lower case; of names that are then equal the first counts.
+    """
+    keys = F.map_keys(image)
+    lower = F.transform(keys, F.lower)
+    same = F.forall(keys, lambda k: k == F.lower(k))
+    firsts = F.filter(F.transform(F.map_entries(image), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))), lambda e, i: F.array_position(lower, e["key"]) == i + 1)
+    low = F.coalesce(F.when(same, image).otherwise(F.map_from_entries(firsts)), F.create_map().cast("map<string,string>"))
+
+    def value(c: Column) -> Column:
+        at = F.when(F.map_contains_key(low, F.get(c["names"], F.lit(0))), F.get(c["names"], F.lit(0))).otherwise(F.get(F.filter(c["names"], lambda n: F.map_contains_key(low, n)), F.lit(0)))
+        return F.when(at.isNull(), c["fill"]).otherwise(_cast(F.try_element_at(low, at), c["kind"]))
+
+    row = F.transform(plan, lambda c: F.struct(c["name"].alias("name"), value(c).alias("value")))
+    stray = F.array_except(F.map_keys(low), F.flatten(F.transform(plan, lambda c: c["names"])))
+    more = F.concat(F.filter(row, lambda c: ~F.array_contains(stray, c["name"])), F.transform(stray, lambda n: F.struct(n.alias("name"), F.try_element_at(low, n).alias("value"))))
+    return F.when(F.size(stray) == 0, row).otherwise(F.array_sort(more))

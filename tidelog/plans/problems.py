@@ -90,8 +90,9 @@ def _feed_lists(spark: SparkSession, sf: str) -> DataFrame:
     same fingerprint (recorded), and whether it came before the table's first recorded version (early).
 
     One row a list, kept in a working table, as it is used several times."""
-    rows = _ordered(spark, sf).dropna(subset=TABLE_KEY).filter(F.size("table_columns") > 0).withColumn("kinds", F.array_sort(drift.listed_kinds(F.col("table_columns"))))
-    lists = rows.groupBy(*TABLE_KEY, "kinds").agg(F.min(F.struct("term_no", "change_id")).alias("at"), F.count("*").alias("deliveries"))
+    rows = _ordered(spark, sf).dropna(subset=TABLE_KEY).filter(F.size("table_columns") > 0)
+    raw = rows.groupBy(*TABLE_KEY, "table_columns").agg(F.min(F.struct("term_no", "change_id")).alias("at"), F.count("*").alias("n"))  # as delivered: what is worked out is so once a list
+    lists = raw.groupBy(*TABLE_KEY, F.array_sort(drift.listed_kinds(F.col("table_columns"))).alias("kinds")).agg(F.min("at").alias("at"), F.sum("n").alias("deliveries"))
     recorded = _kinds(spark, sf).filter(F.size("kinds") > 0)
     first = recorded.groupBy(*TABLE_KEY).agg(F.min(F.struct("term_no", "change_id")).alias("first_at"))
     lists = lists.withColumn("list_print", drift.kind_fingerprint(F.col("kinds"))).join(recorded.select(*_LIST_KEY, F.lit(True).alias("known")).distinct(), _LIST_KEY, "left").join(first, TABLE_KEY, "left")
@@ -129,7 +130,10 @@ def p4_unified(spark: SparkSession, sf: str) -> DataFrame:
     The version is the one in force if it lists the image's columns. Else (none is recorded yet, or the image is of another
     one) it is the one with the fingerprint of the delivery's own Table.columns, else the table's first. Lists of before the
     first version that no version has are versions, too (schema_id null). Absent columns have the default stated when they were
-    added later, else null (\\N)."""
+    added later, else null (\\N).
+
+    Versions are control data: what can be worked out of them is, once a version, and put beside the images by joins that broadcast
+    it if a count proves it small. Images are not shuffled then."""
     lists = _feed_lists(spark, sf)
     kinds = _kinds(spark, sf)
     history = kinds.unionByName(_as_versions(lists).filter("early").drop("early"), allowMissingColumns=True)
@@ -137,39 +141,43 @@ def p4_unified(spark: SparkSession, sf: str) -> DataFrame:
     versions = drift.schema_versions(history, TABLE_KEY, order, order_hint())
     routes = drift.unified_columns(drift.lineage(versions, TABLE_KEY, order, "version_key"), versions, TABLE_KEY, order, "version_key", "sql_text")
 
-    place = F.struct("term_no", "change_id", F.struct("version_key", "schema_id", F.transform("kinds", lambda c: c["name"]).alias("names")).alias("version"))
+    # Of each table: its versions by place (the lowest id of a place), by fingerprint, the first one, and names that only the feed has.
+    names = F.transform("kinds", lambda c: c["name"])
+    version = F.struct("version_key", "schema_id", names.alias("names"))
+    place = F.struct("term_no", "change_id", version.alias("version"))
     some = history.filter(F.size("kinds") > 0)
-    by_list = some.groupBy(*_LIST_KEY).agg(F.array_sort(F.collect_list(place)).alias("same"))
-    first = some.groupBy(*TABLE_KEY).agg(F.min_by(place, F.struct(F.col("schema_id").isNull(), "term_no", "change_id", "schema_id", "version_key"))["version"].alias("first"))
-    named = F.array_distinct(F.flatten(F.collect_list(F.transform("kinds", lambda c: c["name"]))))
-    in_versions = history.groupBy(*TABLE_KEY).agg(named.alias("known"))
-    extra = lists.groupBy(*TABLE_KEY).agg(named.alias("seen")).join(in_versions, TABLE_KEY, "left").select(*TABLE_KEY, F.array_sort(F.array_except("seen", F.coalesce("known", F.array().cast("array<string>")))).alias("extra"))
-
-    rows = _in_force(spark, sf, ["delivery_id", "entity", "table_columns"], "kinds")
-    rows = rows.withColumn("list_print", drift.kind_fingerprint(F.array_sort(drift.listed_kinds(F.col("table_columns"))))).drop("table_columns")
-    rows = rows.join(small_side(by_list), _LIST_KEY, "left").join(small_side(first), TABLE_KEY, "left").join(small_side(extra), TABLE_KEY, "left")
-    before = F.filter("same", lambda v: F.struct(v["term_no"], v["change_id"]) <= F.struct("term_no", "change_id"))
-    force = F.when(F.size("version.kinds") > 0, F.struct(F.concat(F.lit("v"), F.col("version.schema_id").cast("string")).alias("version_key"), F.col("version.schema_id").alias("schema_id"), F.transform("version.kinds", lambda c: c["name"]).alias("names")))
-    rows = rows.withColumns({"force": force, "listed": F.coalesce(F.try_element_at(before, F.lit(-1)), F.get("same", F.lit(0)))["version"]})
-    fits = lambda v: F.when(F.size(F.array_except(F.transform(F.coalesce(F.map_keys("entity"), F.array().cast("array<string>")), F.lower), F.col(f"{v}.names"))) == 0, F.col(v))
-    rows = rows.withColumn("chosen", F.coalesce(fits("force"), fits("listed"), fits("first"), "force", "listed", "first"))
-
-    lean = rows.select("delivery_id", *TABLE_KEY, "entity", "extra", F.col("chosen.schema_id").alias("schema_id"), F.coalesce("chosen.version_key", F.lit("")).alias("version_key"))
-    routed = skew.fragment_join(lean, routes.select("version_key", "route", "target"), ["version_key"], F.col("delivery_id"), "left")
-    none = F.create_map()
-    image = drift.route_image(
-        F.coalesce("entity", none.cast("map<string,string>")), F.coalesce("route", none.cast("map<string,struct<to_name:string,to_type:string>>")),
-        F.coalesce("target", none.cast("map<string,struct<names:array<string>,to_type:string,fill:string>>")), F.coalesce("extra", F.array().cast("array<string>")),
-    )
-    entries = F.array_sort(F.map_entries(image))
-    text = F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit("\\N")))), ";")
+    by_place = kinds.groupBy(*TABLE_KEY, "term_no", "change_id").agg(F.min_by(version, "schema_id").alias("version")).groupBy(*TABLE_KEY).agg(F.array_sort(F.collect_list(F.struct("term_no", "change_id", "version"))).alias("places"))
+    by_list = some.groupBy(*_LIST_KEY).agg(F.array_sort(F.collect_list(place)).alias("same")).groupBy(*TABLE_KEY).agg(F.map_from_entries(F.collect_list(F.struct("list_print", "same"))).alias("by_list"))
+    first = some.groupBy(*TABLE_KEY).agg(F.min_by(version, F.struct(F.col("schema_id").isNull(), "term_no", "change_id", "schema_id", "version_key")).alias("first"))
+    named = F.array_distinct(F.flatten(F.collect_list(names)))
+    extra = lists.groupBy(*TABLE_KEY).agg(named.alias("seen")).join(history.groupBy(*TABLE_KEY).agg(named.alias("known")), TABLE_KEY, "full_outer")
+    extra = extra.select(*TABLE_KEY, F.array_sort(F.array_except(F.coalesce("seen", F.array().cast("array<string>")), F.coalesce("known", F.array().cast("array<string>")))).alias("extra"))
+    tables = extra.join(by_place, TABLE_KEY, "left").join(by_list, TABLE_KEY, "left").join(first, TABLE_KEY, "left")
+    plans = routes.join(extra, TABLE_KEY).select("version_key", drift.column_plan(F.col("route"), F.col("target"), F.col("extra")).alias("plan"))
+    tables.select(*TABLE_KEY, "places", "by_list", "first", drift.extra_plan(F.col("extra")).alias("unknown")).write.parquet(f"{(path := shared_folder(spark, 'drift'))}/tables")
+    plans.write.parquet(f"{path}/plans")
+    all_versions = table(spark, sf, "schema_history").select(F.lit(1)).unionAll(lists.select(F.lit(1)))  # bounds the size of both
+
+    rows = _ordered(spark, sf).select("delivery_id", *TABLE_KEY, "entity", "table_columns", "term_no", "change_id")
+    rows = rows.join(small_side(spark.read.parquet(f"{path}/tables"), at_most=all_versions), TABLE_KEY, "left")
+    before = lambda places: F.try_element_at(F.filter(places, lambda v: F.struct(v["term_no"], v["change_id"]) <= F.struct("term_no", "change_id")), F.lit(-1))["version"]
+    force = before(F.col("places"))
+    same = F.try_element_at("by_list", drift.kind_fingerprint(F.array_sort(drift.listed_kinds(F.col("table_columns")))))
+    listed = F.coalesce(before(same), F.get(same, F.lit(0))["version"])
+    fits = lambda v: F.when(F.coalesce(F.forall(F.map_keys("entity"), lambda k: F.array_contains(v["names"], F.lower(k))), F.lit(True)), v)
+    rows = rows.withColumn("force", force).withColumn("force", F.when(F.size("force.names") > 0, F.col("force")))
+    rows = rows.withColumn("chosen", F.coalesce(fits(F.col("force")), fits(listed), fits(F.col("first")), "force", listed, "first"))
+    lean = rows.select("delivery_id", *TABLE_KEY, "entity", "unknown", F.col("chosen.schema_id").alias("schema_id"), F.col("chosen.version_key").alias("version_key"))
+    routed = lean.join(small_side(spark.read.parquet(f"{path}/plans"), at_most=all_versions), "version_key", "left")
+    row = drift.planned_image(F.col("entity"), F.coalesce("plan", "unknown", F.array().cast(drift.PLAN)))
+    text = F.array_join(F.transform(row, lambda c: F.concat_ws("=", c["name"], F.coalesce(c["value"], F.lit("\\N")))), ";")
     return routed.select("delivery_id", *TABLE_KEY, "schema_id", text.alias("unified_row"))
 
 
-def _in_force(spark: SparkSession, sf: str, columns: list[str], *payload: str) -> DataFrame:
+def _in_force(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame:
     rows = _ordered(spark, sf).select(*columns, *TABLE_KEY, "term_no", "change_id")
-    versions = (_kinds(spark, sf) if payload else _versions(spark, sf)).withColumn("column_count", F.size("column_list"))
-    return asof.asof_join(rows, versions, TABLE_KEY, ["term_no", "change_id"], ["schema_id", "column_count", *payload], order_hint(), [-F.col("schema_id")])
+    versions = _versions(spark, sf).withColumn("column_count", F.size("column_list"))
+    return asof.asof_join(rows, versions, TABLE_KEY, ["term_no", "change_id"], ["schema_id", "column_count"], order_hint(), [-F.col("schema_id")])
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
