@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -146,8 +147,33 @@ def test_metrics(spark):
     got = Counter(map(tuple, metrics.counters(df, "m", ["t"], F.col("n")).collect()))
     assert got == Counter([("m", "a", 3), ("m", "b", 3), ("m", None, 4), ("m.untagged", None, 10)])
     assert [tuple(r) for r in metrics.counters(df.limit(0), "m", ["t"]).collect()] == [("m.untagged", None, 0)]
-    h = {r.t: (r.n, r.least, r.most, r.mean, r.p50) for r in metrics.histograms(df, "lag", "lag", ["t"]).collect()}
+    h = {r.t: (r.n, r.least, r.most, r.mean, r.p50) for r in metrics.histograms(df, "lag", "lag", ["t"], exact=True).collect()}
     assert h["a"] == (2, 10, 30, 20.0, 20.0) and h["b"] == (0, None, None, None, None)
+    sketched = {r.t: (r.n, r.least, r.most, r.mean, r.p50) for r in metrics.histograms(df, "lag", "lag", ["t"]).collect()}
+    assert sketched["a"] == (2, 10, 30, 20.0, 10) and sketched["b"] == h["b"] and sketched[None] == (1, 5, 5, 5.0, 5)
+
+
+def test_exact_quantiles_equal_sorting(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot"] * 4 + ["b"]), rng.choice([None, 0, 1, 2.5, rng.random() * 9])) for _ in range(400)]
+    df = spark.createDataFrame([(t, None if v is None else float(v)) for t, v in rows], "t string, v double")
+    got = {r.t: (r.n, r.p50, r.p95) for r in metrics.histograms(df, "m", "v", ["t"], exact=True).collect()}
+    for t in ("hot", "b"):
+        some = sorted(v for k, v in rows if k == t and v is not None)
+        at = lambda q: some[int(q * (len(some) - 1))] + (some[min(len(some) - 1, int(q * (len(some) - 1)) + 1)] - some[int(q * (len(some) - 1))]) * (q * (len(some) - 1) % 1)
+        assert got[t] == (len(some), pytest.approx(at(0.5)), pytest.approx(at(0.95)))
+
+
+def test_kinds_without_mapper_are_an_error(spark):
+    df = spark.createDataFrame([("TABLE_MAP",), ("WRITE",)], "event_type string")
+    assert [r.m for r in df.select(mutate.mapped().alias("m")).collect()] == [False, True]
+    for bad in ("HEARTBEAT", None):
+        with pytest.raises(Exception, match="no mapper"):
+            spark.createDataFrame([(bad,)], "event_type string").select(mutate.mapped()).collect()
+
+
+def test_lag_gauge(spark):
+    df = spark.createDataFrame([("a", 1, 10), ("a", 2, 30), ("b", 3, None), (None, 4, 5)], "t string, n int, lag long")
     assert {r.t: r.lag_ms for r in metrics.lag_gauge(df, 100, "lag", ["t"]).collect()} == {"a": 70, "b": None, None: 95}
 
 

@@ -37,8 +37,12 @@ def is_commit(sql: Column | str) -> Column:
     return F.coalesce(_col(sql) == "COMMIT", F.lit(False))
 
 
+# Fixed value: a comment that the server executes (with or without the version from which it does).
+EXECUTABLE_COMMENT = r"/\*!(?:\d{5})?(.*?)\*/"
+
+
 def without_comments(sql: Column | str) -> Column:
     """Statement with /*! ... */ unwrapped, block comments blanked, runs of blanks squeezed, blanks in front dropped. Line comments stay."""
-    s = F.regexp_replace(_col(sql), r"/\*!(?:\d{5})?(.*?)\*/", "$1")
+    s = F.regexp_replace(_col(sql), EXECUTABLE_COMMENT, "$1")
     s = F.regexp_replace(s, r"(?s)/\*.*?\*/", " ")
     return F.regexp_replace(F.regexp_replace(s, r"\h+", " "), r"^\s+", "")

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The metrics of sources, destinations, pipes and MySQL sources (without prefix).
-SOURCE_METRICS = ("start", "stop", "checkpoint", "open.failure", "close.failure", "start.failure", "stop.failure", "checkpoint.failure", "process.failure", "event.lag", "event.process.time", "event.count", "event.out.of.order")
-DESTINATION_METRICS = ("start", "stop", "start.failure", "stop.failure", "publish.time", "publish.success", "publish.failure", "publish.lag", "publish.out.of.order", "buffer.size", "buffer.full", "send.time", "send.failure", "record.too.large", "mutation.lag")
-PIPE_METRICS = ("open", "close", "start", "stop", "checkpoint")
 UNTAGGED = ".untagged"
 
 
@@ -25,10 +21,28 @@ def counters(rows: DataFrame, metric: str, tags: list[str], amount: Column | Non
     return tagged.select(F.lit(metric).alias("metric"), *tags, "value").unionByName(every)
 
 
-def histograms(rows: DataFrame, metric: str, value: str, tags: list[str], quantiles: tuple[float, ...] = (0.5, 0.95), exact: bool = True) -> DataFrame:
-    """metric, tags, n, least, most, mean and the quantiles (p50, p95) of a value. exact=False takes sketches of bounded size instead."""
-    at = [(F.percentile if exact else F.percentile_approx)(value, q).alias(f"p{round(q * 100)}") for q in quantiles]
-    return rows.groupBy(*tags).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), *at).select(F.lit(metric).alias("metric"), *tags, "n", "least", "most", "mean", *[f"p{round(q * 100)}" for q in quantiles])
+def histograms(rows: DataFrame, metric: str, value: str, tags: list[str], quantiles: tuple[float, ...] = (0.5, 0.95), exact: bool = False) -> DataFrame:
+    """metric, tags, n, least, most, mean and the quantiles (p50, p95) of a value.
+
+    Quantiles come from sketches of bounded size; exact=True counts equal values first (combined on the map side), then looks the ranks up in a
+    running count, between neighbours in proportion: sorted and spilled by Spark, never held for a series. Null values do not count; null
+    tags are a series; no rows give no series.
+    """
+    names = [f"p{round(q * 100)}" for q in quantiles]
+    if not exact:
+        at = [F.percentile_approx(value, q).alias(n) for q, n in zip(quantiles, names)]
+        return rows.groupBy(*tags).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), *at).select(F.lit(metric).alias("metric"), *tags, "n", "least", "most", "mean", *names)
+    counted = rows.groupBy(*tags, F.col(value).alias("_v")).agg(F.count(value).alias("_c"))
+    all_of = Window.partitionBy(*tags)
+    ranked = counted.withColumns({"_upto": F.sum("_c").over(all_of.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(all_of)})
+
+    def at_rank(rank: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("_c") <= rank) & (rank < F.col("_upto")), F.col("_v")))
+
+    ends = [c for q, n in zip(quantiles, names) for c in (at_rank(F.floor(q * (F.col("_n") - 1))).alias(f"_low_{n}"), at_rank(F.ceil(q * (F.col("_n") - 1))).alias(f"_high_{n}"))]
+    found = ranked.groupBy(*tags).agg(F.sum("_c").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"), F.try_divide(F.sum(F.col("_v") * F.col("_c")), F.sum("_c")).alias("mean"), *ends)
+    part = lambda q: q * (F.col("n") - 1) - F.floor(q * (F.col("n") - 1))
+    return found.select(F.lit(metric).alias("metric"), *tags, "n", "least", "most", "mean", *[(F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * part(q)).alias(n) for q, n in zip(quantiles, names)])
 
 
 def lag_gauge(rows: DataFrame, now_ms: int, timestamp: str, tags: list[str]) -> DataFrame:

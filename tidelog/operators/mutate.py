@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.keys import image_values, pk_text
-from tidelog.model import DELETE, INSERT, UPDATE
+from tidelog.model import DELETE, EVENT_TYPES, INSERT, ROW_EVENTS, UPDATE
 
 
 def zip_row(values: Column, names: Column) -> Column:
@@ -23,13 +23,21 @@ def pk_changed(before: Column, after: Column, pk_names: Column, by_column: bool
     return F.coalesce(~pk_text(a).eqNullSafe(pk_text(b)) & (F.size(pk_names) > 0), F.lit(False))
 
 
+def mapped(event_type: str = "event_type") -> Column:
+    """Whether an event's kind makes mutations; false for the other kinds of a log, an error for kinds that are none."""
+    kind = F.col(event_type)
+    unknown = F.raise_error(F.concat(F.lit("no mapper for events of kind "), F.coalesce(kind, F.lit("null")))).cast("boolean")
+    return F.when(kind.isin(*ROW_EVENTS), True).when(kind.isin(*EVENT_TYPES), False).otherwise(unknown)
+
+
 def explode_mutations(events: DataFrame, names: str = "column_names", pk_names: str = "pk_names", by_column: bool = False) -> DataFrame:
     """One row a mutation of WRITE, UPDATE and DELETE events: op, event_row_position, op_seq, entity, previous_entity.
 
     An update that changes the primary key becomes a DELETE of the old and an INSERT of the new image with the same row
-    position; op_seq (0, 1) keeps their order. Other events give nothing; an event without rows gives nothing.
+    position; op_seq (0, 1) keeps their order. Other known events give nothing, nor does one without rows; an event of a kind that
+    no mapper knows is an error (filters.known_type() takes them out beforehand).
     """
-    rows = events.filter(F.col("event_type").isin("WRITE", "UPDATE", "DELETE")).select("*", F.posexplode("rows").alias("event_row_position", "_row"))
+    rows = events.filter(mapped()).select("*", F.posexplode("rows").alias("event_row_position", "_row"))
     imaged = rows.withColumns({"_before": zip_row(F.col("_row.before"), F.col(names)), "_after": zip_row(F.col("_row.after"), F.col(names))})
     none = F.lit(None).cast("map<string,string>")
 
@@ -59,6 +67,24 @@ def wire_value(value: Column) -> Column:
     return F.encode(value, "UTF-8")
 
 
+# Type codes of columns that hold whole numbers.
+WHOLE_NUMBERS = (1, 2, 3, 8, 9, 13, 247, 248)
+
+
+def typed_bytes(value: Column, code: Column) -> Column:
+    """Bytes of a value by its column's type code: whole numbers as 8 bytes, highest first; all others as their UTF-8 text. Null stays null.
+
+    A text that is no whole number in such a column is an error, as is its way back for other lengths.
+    """
+    number = F.unhex(F.lpad(F.hex(value.cast("bigint")), 16, "0"))
+    return F.when(code.isin(*WHOLE_NUMBERS), number).otherwise(F.encode(value, "UTF-8"))
+
+
+def typed_value(data: Column, code: Column) -> Column:
+    """The value's text, from typed_bytes()."""
+    return F.when(code.isin(*WHOLE_NUMBERS), F.conv(F.hex(data), 16, -10)).otherwise(F.decode(data, "UTF-8"))
+
+
 def wire_image(image: Column) -> Column:
     return F.transform_values(image, lambda _, v: wire_value(v))
 

@@ -8,14 +8,22 @@ from pyspark.sql import functions as F
 from tidelog.functions.keys import pool_member
 
 
-def to_pool(mutations: DataFrame, key: str, size: int, order: list[str], source: str = "source_id") -> DataFrame:
+def with_member(mutations: DataFrame, key: str, size: int) -> DataFrame:
+    """Add member, by the key's hash; null keys go to member 0."""
+    return mutations.withColumn("member", F.coalesce(pool_member(key, size), F.lit(0)))
+
+
+def to_pool(mutations: DataFrame, key: str, size: int, order: list[str], source: str = "source_id", segment: Column | None = None) -> DataFrame:
     """Add member, and lay the rows out by source, member and order.
 
-    Range partitions: a member's rows follow each other in order, and a member with many rows spans several partitions,
-    which follow each other too. Null keys go to member 0; rows of equal order keep no order among themselves.
+    A member's rows of a source follow each other in order. segment: a number that never decreases in the order, and of which one
+    holds a bounded piece of a source (some log files, say): then a partition holds whole segments of a member, and a member with many
+    rows spreads over partitions by ranges of the order. Rows of equal order keep no order among themselves.
     """
-    by = [source, "member", *order]
-    return mutations.withColumn("member", F.coalesce(pool_member(key, size), F.lit(0))).repartitionByRange(*by).sortWithinPartitions(*by)
+    by = [source, "member"] if segment is None else [source, "member", "_segment"]
+    rows = with_member(mutations, key, size)
+    rows = rows if segment is None else rows.withColumn("_segment", segment)
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).drop("_segment")
 
 
 def pool_checkpoint(published: DataFrame, members: DataFrame, member: str = "member", offset: str = "offset") -> DataFrame:

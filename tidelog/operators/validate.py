@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _arrival_pieces(keys: list[str], arrival: str, piece: int) -> list[Column]:
-    return [*[F.col(k) for k in keys], F.floor(F.col(arrival) / piece)]
-
-
 def order_violations(rows: DataFrame, offset: str, arrival: str, keys: list[str], ignore_special: bool, piece: int = 1_000_000) -> DataFrame:
     """Rows whose offset is below that of the row that arrived just before (not below the highest so far).
 

@@ -365,9 +365,3 @@ def with_prefix(sql: str, prefix: str) -> str:
             out[at + 2] = quote(items[at + 2].name)
     return "".join(out)
 
-
-def without_comments(sql: str) -> str:
-    """As the column function of the same name, for one statement."""
-    s = re.sub(r"/\*!(?:\d{5})?(.*?)\*/", r"\1", sql)
-    s = re.sub(r"/\*.*?\*/", " ", s, flags=re.DOTALL)
-    return re.sub(r"^\s+", "", re.sub(r"[ \t\xa0]+", " ", s))
