@@ -4,18 +4,18 @@ import pytest
 
 from tidelog import config
 from tidelog.errors import DecodeError, InvalidPositionError, SourceError, source_error
-from tidelog.operators.state import Checkpointer, JsonRepository, SourceState, gtid_within, with_retries
+from tidelog.operators.state import Checkpointer, Repository, SourceState, gtid_within, with_retries
 
 
 def states(*offsets):
     return [SourceState(last_offset=o) for o in offsets]
 
 
-def test_history_is_bounded_and_kept(tmp_path):
-    c = Checkpointer(str(tmp_path / "s"), capacity=2)
+def test_history_is_bounded_and_kept(spark, tmp_path):
+    c = Checkpointer(Repository(spark, str(tmp_path / "s")), capacity=2)
     for s in states(1, 2, 3, 4):
         c.add(s)
-    assert [s.last_offset for s in Checkpointer(str(tmp_path / "s")).history] == [3, 4]
+    assert [s.last_offset for s in Checkpointer(Repository(spark, str(tmp_path / "s"))).history] == [3, 4]
     c.capacity = 9
     c.history = states(1, 2, 3)
     assert c.remove_last(2).last_offset == 2
@@ -25,24 +25,24 @@ def test_history_is_bounded_and_kept(tmp_path):
             c.remove_last(n)
 
 
-def test_reset_goes_back_further_each_time(tmp_path):
-    c = Checkpointer(str(tmp_path / "s"))
+def test_reset_goes_back_further_each_time(spark, tmp_path):
+    c = Checkpointer(Repository(spark, str(tmp_path / "s")))
     c.history = states(1, 2, 3)
     assert [c.reset().last_offset, c.reset().last_offset] == [3, 1]
     assert c.reset() == SourceState() and c.history == []
     assert c.commit({"ts_ms": 1, "offset": 5, "last_position": "p"}) and c.step == 1
 
 
-def test_saves_are_fenced(tmp_path):
-    c = Checkpointer(str(tmp_path / "s"))
+def test_saves_are_fenced(spark, tmp_path):
+    c = Checkpointer(Repository(spark, str(tmp_path / "s")))
     assert c.save(SourceState(leader_epoch=5))
     assert not c.save(SourceState(leader_epoch=4, last_offset=9))
     assert c.save(SourceState(leader_epoch=5, last_offset=1)) and c.save(SourceState(leader_epoch=6, last_offset=2))
-    assert Checkpointer(str(tmp_path / "s")).state() == SourceState(leader_epoch=6, last_offset=2)
+    assert Checkpointer(Repository(spark, str(tmp_path / "s"))).state() == SourceState(leader_epoch=6, last_offset=2)
 
 
-def test_checkpoints_only_advance(tmp_path):
-    c = Checkpointer(str(tmp_path / "s"))
+def test_checkpoints_only_advance(spark, tmp_path):
+    c = Checkpointer(Repository(spark, str(tmp_path / "s")))
     c.save(SourceState(last_offset=12, server_uuid="U", gtid_set="u:1-5"))
     m = {"ts_ms": 23, "offset": 13, "last_position": "a.1:2:3", "server_uuid": "u", "gtid_set": "u:1-6"}
     assert not c.commit(None) and not c.commit(m | {"offset": 0}) and not c.commit(m | {"gtid_set": "u:1-5"}) and not c.commit(m | {"server_uuid": "v", "gtid_set": "u:2-3"})
@@ -51,13 +51,21 @@ def test_checkpoints_only_advance(tmp_path):
     assert c.commit(m | {"server_uuid": "v", "offset": 1, "gtid_set": "u:1-7"})  # another server: by ids
 
 
+def test_a_replaced_leader_cannot_save(spark, tmp_path):
+    old, new = (Checkpointer(Repository(spark, str(tmp_path / "s")), leader_epoch=e) for e in (1, 2))
+    m = {"ts_ms": 1, "offset": 5, "last_position": "p"}
+    assert old.commit(m) and new.commit(m | {"offset": 9})  # the new one has not seen what the old one has saved
+    assert not old.commit(m | {"offset": 50})  # nor the old one the new one's, but the repository has
+    assert old.state().last_offset == 9 and Checkpointer(Repository(spark, str(tmp_path / "s"))).state().leader_epoch == 2
+
+
 def test_unknown_fields_are_ignored():
     assert SourceState.from_json(json.dumps({"last_offset": 3, "later": 1})) == SourceState(last_offset=3)
     assert gtid_within("A:1-3,a:4", "a:1-9") and not gtid_within("b:1", "a:1-9") and gtid_within("", "")
 
 
-def test_repository(tmp_path):
-    r = JsonRepository(str(tmp_path / "r"))
+def test_repository(spark, tmp_path):
+    r = Repository(spark, str(tmp_path / "r"))
     assert not r.exists()
     r.update(1, lambda a, b: a + b)
     r.update(2, lambda a, b: a + b)

@@ -1,13 +1,20 @@
 
 
+import json
+import threading
+import time
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog import config
 from tidelog.config import Config, SourceConfig
 from tidelog.operators.enrich import table_maps, transaction_context
-from tidelog.operators.state import Checkpointer, SourceState
+from tidelog.operators.state import Checkpointer, Repository, SourceState
 from tidelog.operators.validate import event_order_violations
-from tidelog.sources.log import log_from_events, read_log
+from tidelog.schema import ddl
+from tidelog.sources.log import SERVER, log_from_events, read_log, start_condition
 from tidelog.sources.metadata import Server, base_tables, table_columns, user_databases
 from tidelog.sources.stream import LogSource
 from tidelog.streaming import pipe, sink
@@ -120,7 +127,7 @@ def test_pipe_restarts_after_failure_and_checkpoints(spark, log_dir, tmp_path):
             raise OSError("first time")
         done.extend(r.offset for r in df.select("offset").collect())
 
-    def build(s):
+    def build(s, state):
         return s.readStream.format("tidelog_files").load(log_dir).withColumns({"ts_ms": F.col("timestamp_ms"), "routing_key": F.lit("k")})
 
     p = pipe.Pipe("p", build, sink.Destination(publish), str(tmp_path / "c"), {"processingTime": "0 seconds"}, committed.append)
@@ -136,14 +143,17 @@ def test_pipe_restarts_after_failure_and_checkpoints(spark, log_dir, tmp_path):
 
 
 def test_a_lost_position_rolls_the_source_back(spark, log_dir, tmp_path):
-    states = Checkpointer(str(tmp_path / "state"))
+    states = Checkpointer(Repository(spark, str(tmp_path / "state")))
     for offset in (1, 2, 3):
         states.add(SourceState(last_offset=offset))
 
     def publish(df, n):
         raise OSError("1236; could not find first log file name")
 
-    def build(s):
+    asked = []
+
+    def build(s, state):
+        asked.append(state.last_offset)
         return s.readStream.format("tidelog_files").load(log_dir).withColumns({"ts_ms": F.col("timestamp_ms"), "routing_key": F.lit("k")})
 
     p = pipe.Pipe("lost", build, sink.Destination(publish), str(tmp_path / "c"), {"availableNow": True}, states=states)
@@ -152,17 +162,248 @@ def test_a_lost_position_rolls_the_source_back(spark, log_dir, tmp_path):
         with pytest.raises(Exception, match="1236"):
             p.query.awaitTermination(60)
         assert p.keep_alive(spark)
-        assert states.state().last_offset == expected
+        assert states.state().last_offset == expected == asked[-1]
         p.query.stop()
+    assert Checkpointer(Repository(spark, str(tmp_path / "state"))).generation == 3
+
+
+def test_after_a_roll_back_the_stream_goes_on_from_the_state(spark, log_dir, tmp_path):
+    """The position that Spark's checkpoint holds is lost: what is read again begins at the state gone back to, not there."""
+    states = Checkpointer(Repository(spark, str(tmp_path / "state")))
+    states.add(SourceState(last_offset=(2 << 32) + 4, last_position="shop-bin.000002:4:1004"))
+    got, lost = [], {"now": False}
+
+    def publish(df, n):
+        if lost["now"]:
+            lost["now"] = False
+            raise OSError("1236; could not find first log file name")
+        got.extend(r.offset for r in df.select("offset").collect())
+
+    def build(s, state):
+        source = SourceConfig("n", ["a:b"], "h", initial_binlog_position="earliest")
+        return s.readStream.format("tidelog_files").option("startingPosition", pipe.starting_position(state, source)).option("maxEvents", "400").load(log_dir).withColumns({"ts_ms": F.col("timestamp_ms"), "routing_key": F.lit("k")})
+
+    p = pipe.Pipe("again", build, sink.Destination(publish), str(tmp_path / "c"), {"processingTime": "0 seconds"}, states=states)
+    p.open(spark)
+    p.query.processAllAvailable()
+    p.query.stop()
+    first = list(got)
+    assert min(first) == (1 << 32) + 4  # nothing was saved yet
+    lost["now"] = True
+    p.destination.last_mutation = None
+    p.checkpoint_path = str(tmp_path / "other")
+    p.open(spark)
+    with pytest.raises(Exception, match="1236"):
+        p.query.processAllAvailable()
+    got.clear()
+    assert p.keep_alive(spark)
+    p.query.processAllAvailable()
+    p.close()
+    assert min(got) == (2 << 32) + 1004 and max(got) == max(first)
+    assert states.state().last_offset == max(got)
+
+
+def test_order_checks_remember_the_batch_before_and_reset(spark):
+    check = sink.OrderCheck(order=("at",))
+    rows = lambda *r: spark.createDataFrame(r, "source_id string, offset long, at int")
+    assert check.validate(rows(("s", 5, 1), ("s", 6, 2), ("t", 1, 1))).count() == 0
+    assert [(r.source_id, r.offset, r.previous_offset) for r in check.validate(rows(("s", 4, 3), ("s", 7, 4), ("t", 2, 3))).collect()] == [("s", 4, 6)]
+    check.reset()
+    assert check.validate(rows(("s", 1, 5))).count() == 0
+
+
+def test_a_buffer_holds_batches_and_sends_them_together(spark, tmp_path):
+    kept, gate = [], threading.Event()
 
+    def publish(df, n):
+        gate.wait(60)
+        kept.append((n, sorted(r.offset for r in df.collect())))
+
+    b = sink.build_destination(publish, lambda df: df, buffer_size=2, spark=spark, buffers=str(tmp_path), offset="offset")
+    with pytest.raises(sink.DestinationError, match="does not run"):
+        b.send(batch(spark, (1, 1, "4", "s")), 0)
+    b.open()
+    b.open()
+    b.send(batch(spark, (1, 1, "4", "s")), 1)
+    while b.remaining_capacity() < 2:  # the thread has taken it and waits
+        time.sleep(0.05)
+    b.send(batch(spark, (2, 1, "4", "s")), 2)
+    b.send(batch(spark, (3, 1, "4", "s")), 3)
+    assert b.remaining_capacity() == 0 and b.checkpoint_offset() is None
+    late = threading.Thread(target=lambda: b.send(batch(spark, (4, 1, "4", "s")), 4))
+    late.start()
+    late.join(3)
+    assert late.is_alive() and b.counts["buffer.full"] == 1
+    gate.set()
+    late.join(60)
+    b.close()
+    assert not b.is_running() and kept[0] == (1, [1]) and sorted(o for _, some in kept for o in some) == [1, 2, 3, 4] and len(kept) < 4
+    assert b.checkpoint_offset() == 4
+
+
+def test_what_a_buffer_held_is_sent_when_it_is_opened_again(spark, tmp_path):
+    kept, heard, state = [], [], {"fail": True}
+
+    def publish(df, n):
+        if state["fail"]:
+            raise OSError("no")
+        kept.extend(r.offset for r in df.collect())
+
+    make = lambda: sink.build_destination(publish, lambda df: df, buffer_size=5, spark=spark, buffers=str(tmp_path))
+    b = make()
+    b.on_error.append(heard.append)
+    b.open()
+    b.send(batch(spark, (1, 1, "4", "s")), 1)
+    b._thread.join(60)
+    assert len(heard) == 1 and b.checkpoint_offset() is None and b.counts["send.failure.OSError"] == 1
+    with pytest.raises(sink.DestinationError):
+        b.send(batch(spark, (2, 1, "4", "s")), 2)
+    state["fail"] = False
+    again = make()
+    again.open()
+    again.send(batch(spark, (2, 1, "4", "s")), 2)
+    again.close()
+    assert sorted(kept) == [1, 2]
 
-def test_pipes_are_wired_by_type():
-    source = SourceConfig("n", ["a:b"], "h", destination={"type": "memory", "pool_size": 2}, delay_send_ms=5)
+
+def test_a_pool_publishes_by_member_and_fails_by_member(spark):
+    kept, heard = {}, []
+
+    def publish(df, n):
+        rows = df.collect()
+        if any(r.routing_key == "9" for r in rows) and not kept.get("fixed"):
+            raise OSError("member 1")
+        kept.setdefault(n % 1000, []).extend(r.offset for r in rows)
+
+    pool = sink.build_destination(publish, lambda df: df, pool_size=4)
+    pool.on_error.append(heard.append)
+    pool.open()
+    some = batch(spark, (1, 1, "4", "s"), (3, 1, "9", "s"), (2, 1, "6", "s"), (4, 1, "2", "s"), (5, 1, "1", "s"))
+    with pytest.raises(sink.DestinationError):
+        pool.send(some, 0)
+    assert len(heard) == 1 and kept == {0: [1], 2: [2, 4]} and pool.counts["send.failure"] == 1
+    kept["fixed"] = True
+    pool.send(some, 0)
+    assert sorted(kept[1]) == [3, 5] and pool.checkpoint_offset() == 1 and pool.last_mutation["offset"] == 1
+    with pytest.raises(ValueError, match="publisher"):
+        sink.build_destination(None, lambda df: df)
+
+
+def test_a_batch_is_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    d = sink.Destination(sink.memory_sink([]), validators={"a": sink.OrderCheck(), "b": lambda df: df.limit(0)})
+    rows = batch(spark, *[(i, i, "k", "s") for i in range(50)])
+    d.send(rows.mapInPandas(count, rows.schema), 0)
+    assert seen.value == 50
+
+
+def test_unknown_destinations_are_refused(spark, tmp_path):
+    source = SourceConfig("n", ["a:b"], "h", destination={"type": "pigeon"})
     with pytest.raises(ValueError, match="unknown destination"):
-        pipe.pipe_of(Config(), source, lambda *a: None, "c")
-    pipe.DESTINATIONS["memory"] = lambda s: sink.Destination(sink.memory_sink([]))
-    p = pipe.pipe_of(Config(), source, lambda *a: None, "c")
-    assert p.name == "n_0" and p.destination.pool_size == 2 and p.destination.delay_ms == 5 and pipe.topic_prefix(source) == "tidelog"
+        pipe.pipe_of(spark, Config(), source, lambda *a: None, str(tmp_path))
+
+
+@pytest.mark.parametrize("options", [{"pieceBytes": "5000"}, {"maxEvents": "301"}])
+@pytest.mark.parametrize(("start", "first"), [("earliest", (1 << 32) + 4), ("shop-bin.000002:1004", (2 << 32) + 1004), (f"gtid:{SERVER}:1-100", None), ("latest", None)])
+def test_readers_by_pieces_and_by_events_start_alike(spark, log, log_dir, tmp_path, start, first, options):
+    q = spark.readStream.format("tidelog_files").options(startingPosition=start, **options).load(log_dir).writeStream.format("memory").queryName("read_parts").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted(r.offset for r in spark.table("read_parts").select("offset").collect())
+    assert got == ([] if start == "latest" else sorted(r.offset for r in log.filter(start_condition(start)).select("offset").collect()))
+    assert first is None or got[0] == first
+
+
+def test_pieces_follow_a_file_that_grows(spark, log, log_dir, tmp_path):
+    folder = tmp_path / "grows"
+    folder.mkdir()
+    lines = [json.loads(x) for x in (Path(log_dir) / "shop-bin.000001.json").read_text().splitlines()]
+    texts = [json.dumps(x) + "\n" for x in lines]
+    (folder / "shop-bin.000001.json").write_text("".join(texts[:100]) + texts[100][:20])  # the last line is being written
+    q = spark.readStream.format("tidelog_files").option("pieceBytes", "999").load(str(folder)).writeStream.format("memory").queryName("growing").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    assert spark.table("growing").count() == 100
+    (folder / "shop-bin.000001.json").write_text("".join(texts))
+    (folder / "shop-bin.000002.json").write_text((Path(log_dir) / "shop-bin.000002.json").read_text())
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.offset for r in spark.table("growing").collect()) == sorted(r.offset for r in log.filter("file_no <= 2").collect())
+
+
+YAML = """
+mysql_sources:
+  - name: shop-log
+    host: h
+    port: 3306
+    tables: [shop:users, shop:carts]
+    schema_version_enabled: true
+    initial_binlog_position: earliest
+    destination: {type: file, pool_size: 2, buffer_size: 3, producer_config: {path: %s}}
+mysql_schema_store: {host: h, database: store}
+"""
+
+
+def test_a_pipe_from_its_configuration_follows_schema_changes(spark, log, tmp_path):
+    """A column is renamed in mid-stream: images before and after have the names in force; the history is stored; a restart repeats nothing."""
+    folder = tmp_path / "log"
+    folder.mkdir()
+    n = F.col("offset")
+    at = log.filter("event_type = 'QUERY' and sql = 'BEGIN' and file_no = 2").agg(F.min("offset")).first()[0]
+    changed = log.withColumn("sql", F.when(n == at, "ALTER TABLE shop.users CHANGE event_type kind varchar(20)").otherwise(F.col("sql")))
+    for k in (1, 2, 3):
+        (folder / f"shop-bin.{k:06d}.json").write_text("\n".join(changed.filter(F.col("file_no") == k).orderBy("position").toJSON().collect()) + "\n")
+    live = ddl.Catalog({"shop": {t: [ddl.Column("user_id", "bigint", "bigint", True), ddl.Column("event_type", "varchar", "varchar(20)"), ddl.Column("value", "double", "double")] for t in ("users", "visits", "carts")}})
+    settings = config.load(YAML % (tmp_path / "out"))
+    source = settings.mysql_sources[0]
+
+    def events(s, source, start):
+        return s.readStream.format("tidelog_files").options(startingPosition=start, maxEvents="250").load(str(folder))
+
+    def run():
+        p = pipe.pipe_of(spark, settings, source, events, str(tmp_path / "root"), live=live)
+        p.trigger = {"processingTime": "0 seconds"}
+        p.open(spark)
+        p.query.processAllAvailable()
+        p.close()
+        return p
+
+    p = run()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    want = mutations_by_hand(changed, at)
+    assert sorted((r.header.id, r.header.event_row_position, r.header.type, r.table.name, ",".join(sorted(r.entity))) for r in rows) == want
+    assert {c.type for r in rows for c in r.table.columns} == {8, 15, 5} and all(r.topic.startswith("tidelog.shop-log-shop-") for r in rows)
+    assert p.destination.counts["schema.mismatch"] == 0 and p.destination.counts["send.failure"] == 0
+    stored = pipe.schema_store(spark, settings, source, str(tmp_path / "root")).read().orderBy("id").collect()
+    assert [r.table_name for r in stored[:3]] == ["carts", "users", "visits"] and len({r.id for r in stored}) == len(stored)
+    renamed = [r for r in stored[3:] if "CHANGE" in r.sql]
+    assert [(r.table_name, [c.name for c in r.columns]) for r in renamed] == [("users", ["user_id", "kind", "value"])]
+    assert all(r.table_name is None for r in stored[3:] if "ADD INDEX" in r.sql) and len(stored) > 6
+    assert p.states.state().last_offset > 0
+    run()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+
+
+def mutations_by_hand(log, at):
+    out, maps = [], {}
+    for e in log.orderBy("offset").collect():
+        if e.event_type == "START":
+            maps = {}
+        elif e.event_type == "TABLE_MAP":
+            maps[e.table_id] = (e.table_name, "kind" if e.table_name == "users" and e.offset > at else "event_type")
+        elif e.event_type in ("WRITE", "UPDATE", "DELETE") and maps.get(e.table_id, ("",))[0] in ("users", "carts"):
+            name, second = maps[e.table_id]
+            names = ",".join(sorted(["user_id", second, "value"]))
+            for k, r in enumerate(e.rows):
+                moved = e.event_type == "UPDATE" and r.before[0] != r.after[0]
+                for op in ([3, 1] if moved else [{"WRITE": 1, "UPDATE": 2, "DELETE": 3}[e.event_type]]):
+                    out.append((e.offset, k, op, name, names))
+    return sorted(out)
 
 
 def test_server_metadata_from_tables(spark):

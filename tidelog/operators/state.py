@@ -1,15 +1,16 @@
-"""Saved states of sources: as tables, and as the small file a running pipe keeps."""
+"""Saved states of sources: as tables, and as what a running pipe keeps in the shared folder."""
 
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelog.shared import SharedLog
+
 #: States that a source's history keeps, and the factor by which repeated roll-backs grow.
 HISTORY, ROLLBACK_GROWTH = 50, 2
 
@@ -85,59 +86,75 @@ def gtid_within(a: str, b: str) -> bool:
     return all(u in y and all(any(s <= i and j <= e for s, e in y[u]) for i, j in r) for u, r in x.items())
 
 
-class JsonRepository:
-    """A value kept as JSON in a file (written to a side file, then renamed); one writer."""
+class Repository:
+    """A value kept in the shared folder, changed by compare-and-set: of two writers one is first, and the other decides on what that has left."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.log = SharedLog(spark, path)
 
-    def __init__(self, path: str):
-        self.path = path
+    def _now(self, entries: list[dict]):
+        return entries[-1].get("value") if entries else None
 
     def exists(self) -> bool:
-        return os.path.exists(self.path)
+        return self._now(self.log.read()[1]) is not None
 
     def get(self):
-        with open(self.path) as f:
-            return json.load(f)
+        return self._now(self.log.read()[1])
 
     def set(self, value) -> None:
-        with open(f"{self.path}.new", "w") as f:
-            json.dump(value, f)
-        os.replace(f"{self.path}.new", self.path)
+        self.update(value, lambda _, new: new)
 
     def create(self, value) -> None:
-        if self.exists():
-            raise FileExistsError(self.path)
-        self.set(value)
+        """Set the first value; FileExistsError if there is one."""
+        if not self.log.change(lambda entries: (None, False) if self._now(entries) is not None else ({"snapshot": True, "value": value}, True)):
+            raise FileExistsError(self.log.folder.path)
 
     def update(self, value, change: Callable) -> None:
-        """Set change(current, value), or value if there is none yet."""
-        self.set(change(self.get(), value) if self.exists() else value)
+        """Set change(current, value), or value if there is none yet. change may be called again after a conflict."""
+        self.log.change(lambda entries: ({"snapshot": True, "value": value if self._now(entries) is None else change(self._now(entries), value)}, None))
+        self.log.trim()
 
     def remove(self) -> None:
-        if self.exists():
-            os.remove(self.path)
+        self.log.change(lambda entries: ({"snapshot": True, "value": None}, None))
 
 
 @dataclass
 class Checkpointer:
-    """State, history and roll-back of one source, in one JSON file."""
+    """State, history and roll-back of one source, in one repository. Saving is fenced by the leader's epoch, in the repository itself.
+
+    generation counts the roll-backs: each starts a stream of its own.
+    """
 
-    path: str
+    repository: Repository
     leader_epoch: int = 0
     initial: SourceState = field(default_factory=SourceState)
     capacity: int = HISTORY
 
     def __post_init__(self) -> None:
         self.history: list[SourceState] = []
-        self.step = 1
+        self.step, self.generation = 1, 0
         self.saved: SourceState | None = None
-        self.repository = JsonRepository(self.path)
-        if self.repository.exists():
-            data = self.repository.get()
+        self._read()
+
+    def _read(self) -> None:
+        if data := self.repository.get():
             self.saved = SourceState.from_json(json.dumps(data["state"])) if data.get("state") else None
             self.history = [SourceState.from_json(json.dumps(s)) for s in data["history"]]
+            self.step, self.generation = data.get("step", 1), data.get("generation", 0)
+
+    def _store(self) -> bool:
+        """Put what is here, unless a leader of a higher epoch has been there; then what it has left is taken. Whether it was put."""
+        mine = {"state": asdict(self.saved) if self.saved else None, "history": [asdict(s) for s in self.history], "step": self.step, "generation": self.generation}
 
-    def _store(self) -> None:
-        self.repository.set({"state": asdict(self.saved) if self.saved else None, "history": [asdict(s) for s in self.history]})
+        def later(now: dict, new: dict) -> dict:
+            epoch = lambda d: (d.get("state") or {}).get("leader_epoch", -1)
+            return now if epoch(now) > self.leader_epoch and epoch(now) > epoch(new) else new
+
+        self.repository.update(mine, later)
+        if self.repository.get() == mine:
+            return True
+        self._read()
+        return False
 
     def state(self) -> SourceState:
         return self.saved or self.initial
@@ -147,8 +164,7 @@ class Checkpointer:
         if self.saved and self.saved.leader_epoch > state.leader_epoch:
             return False
         self.saved = state
-        self._store()
-        return True
+        return self._store()
 
     def add(self, state: SourceState) -> None:
         self.history = [*self.history, state][-self.capacity :]
@@ -172,20 +188,21 @@ class Checkpointer:
         if (by_place and now.last_offset >= mutation["offset"]) or (gtid_set is not None and now.gtid_set is not None and gtid_within(gtid_set, now.gtid_set)):
             return False
         state = SourceState(mutation["ts_ms"], mutation["offset"], self.leader_epoch, mutation["last_position"], uuid, gtid_set)
-        if not self.save(state):
+        if now.leader_epoch > self.leader_epoch:
             return False
-        self.add(state)
-        self.step = 1
-        return True
+        self.saved, self.history, self.step = state, [*self.history, state][-self.capacity :], 1
+        return self._store()
 
     def reset(self) -> SourceState:
         """Back to an earlier state: 1, then 2, 4 ... states; to the earliest position when the history is too short."""
         if len(self.history) >= self.step:
-            state = self.remove_last(self.step)
+            state = self.history[-self.step]
+            self.history = self.history[: -self.step]
             self.step *= ROLLBACK_GROWTH
         else:
             self.history, state = [], SourceState(leader_epoch=self.leader_epoch)
         self.saved = state
+        self.generation += 1
         self._store()
         return state
 

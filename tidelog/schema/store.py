@@ -6,7 +6,9 @@ import json
 import time
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,8 @@ class SchemaTracker:
     def __init__(self, rows: Iterable[dict] = (), enabled: bool = True):
         self.enabled = enabled
         self.rows: list[dict] = []
+        self._next = 1
+        self._seen: set = set()  # what statements are known by: their gtid, else position and server
         self.current, self.shadow = ddl.Catalog(), ddl.Catalog()
         for row in rows:
             self._keep(dict(row))
@@ -61,6 +65,10 @@ class SchemaTracker:
 
     def _keep(self, row: dict) -> None:
         self.rows.append(row)
+        self._next = max(self._next, row["id"] + 1)
+        self._seen.add(("place", row["position"], row["server_uuid"]))
+        if row["gtid"] is not None:
+            self._seen.add(("gtid", row["gtid"]))
         if row["database"] is None or row["table_name"] is None:
             return
         tables = self.current.databases.setdefault(row["database"], {})
@@ -70,7 +78,7 @@ class SchemaTracker:
             tables.pop(row["table_name"], None)
 
     def _put(self, s: Statement, database: str | None, table: str | None, columns: list[ddl.Column], metadata: dict | None = None) -> dict:
-        row = {"id": 1 + max((r["id"] for r in self.rows), default=0), "database": database, "table_name": table, "position": s.position, "server_uuid": s.server_uuid, "gtid_set": s.gtid_set, "gtid": s.gtid, "sql": s.sql, "timestamp_ms": s.timestamp_ms, "columns": [asdict(c) for c in columns], "metadata": json.dumps(metadata or {})}
+        row = {"id": self._next, "database": database, "table_name": table, "position": s.position, "server_uuid": s.server_uuid, "gtid_set": s.gtid_set, "gtid": s.gtid, "sql": s.sql, "timestamp_ms": s.timestamp_ms, "columns": [asdict(c) for c in columns], "metadata": json.dumps(metadata or {})}
         self._keep(row)
         return row
 
@@ -96,7 +104,7 @@ class SchemaTracker:
         kind = _relevant(s.sql)
         if not self.enabled or kind is None:
             return []
-        if any((r["gtid"] == s.gtid) if s.gtid is not None else (r["position"] == s.position and r["server_uuid"] == s.server_uuid) for r in self.rows):
+        if (("gtid", s.gtid) if s.gtid is not None else ("place", s.position, s.server_uuid)) in self._seen:
             return []
         session = None if kind == "database" or (s.database or "") in SYSTEM_DATABASES else s.database
         try:
@@ -130,6 +138,46 @@ def until(history: DataFrame, beyond: Column, keys: list[str], id_column: str =
     return read.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def changed_tables(before: DataFrame, after: DataFrame, keys: list[str], columns: str) -> DataFrame:
+    """What a history must gain so that it says `after` instead of `before`: keys, columns. A table that is gone gets no columns; one that is new
+    or has other columns gets those it has now. Both sides have one row a table; null keys equal each other."""
+    a, b = before.select(*keys, F.col(columns).alias("_was")).alias("a"), after.select(*keys, F.col(columns).alias("_is")).alias("b")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    both = a.join(b, reduce(lambda x, y: x & y, same), "full_outer").select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], "_was", "_is")
+    return both.filter(~F.col("_was").eqNullSafe(F.col("_is"))).select(*keys, F.coalesce("_is", F.slice("_was", 1, 0)).alias(columns))
+
+
+def applied(rows: DataFrame, sql: str, database: str, table: str, columns: str, into: str) -> DataFrame:
+    """The columns (name, column_type) that a table has after a statement, from those it had before: by row, in batches of rows.
+
+    into is null where the statement cannot be followed (see ddl.apply) or there is none. columns: array of (col_name, column_type).
+    """
+    @F.pandas_udf("array<struct<name:string,column_type:string>>")
+    def run(s: pd.Series, d: pd.Series, t: pd.Series, c: pd.Series) -> pd.Series:
+        def one(statement, db, name, had):
+            if statement is None or db is None or name is None:
+                return None
+            catalog = ddl.Catalog({db: {name: [ddl.Column(x["col_name"], "", x["column_type"]) for x in ([] if had is None else had)]}})
+            try:
+                found = ddl.apply(catalog, statement, db).table(db, name)
+            except (ddl.UnsupportedStatement, KeyError):
+                return None
+            return [{"name": x.name, "column_type": x.column_type} for x in found or []]
+
+        return pd.Series([one(*x) for x in zip(s, d, t, c)], dtype=object)
+
+    return rows.withColumn(into, run(F.col(sql), F.col(database), F.col(table), F.transform(columns, lambda c: F.struct(c["col_name"].alias("col_name"), c["column_type"].alias("column_type")))))
+
+
+def prefixed(sql: str, prefix: str) -> Column:
+    """Statements with a prefix before every database name (ddl.with_prefix)."""
+    @F.pandas_udf("string")
+    def run(s: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else ddl.with_prefix(a, b) for a, b in zip(s, p)], dtype=object)
+
+    return run(F.col(sql), F.col(prefix))
+
+
 def rows_to_delete(history: DataFrame, older: Column, keys: list[str], table: str, columns: str, id_column: str = "id") -> DataFrame:
     """Ids that a clean-up removes: rows older than the earliest position that anyone still needs.
 
@@ -153,9 +201,18 @@ class SchemaStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def exists(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def append(self, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self.path)
 
+    def append_new(self, rows: DataFrame) -> None:
+        """Append the rows whose ids the store does not have, so that a repeated batch adds nothing."""
+        if not rows.isEmpty():
+            self.append(rows.join(self.read().select("id"), "id", "left_anti") if self.exists() else rows)
+
     def read(self) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(self.path)
 

@@ -1,63 +1,126 @@
-"""Transaction and table context of a stream of log events, kept in state per source."""
+"""Transaction, table and schema context of a stream of log events, kept in state per source."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: State of one source: JSON texts of the last BEGIN, the last end of a transaction, the gtid, and the file's table maps.
-_STATE = "begin string, last string, gtid string, file_no bigint, maps string"
+from tidelog.schema.store import SchemaTracker, Statement
+
+#: State of one source: JSON texts of the last BEGIN, the last end of a transaction, the gtid, the file's table maps, and the schema history.
+_STATE = "begin string, last string, gtid string, file_no bigint, maps string, history string"
 OUTPUT = """source_id string, event_type string, table_id bigint, timestamp_ms bigint, file_name string, position bigint, next_position bigint, file_no bigint, offset bigint,
-server_id bigint, server_uuid string, gtid_set string, sql string, rows_json string, resolved_table string, begin_txn string, last_txn string, current_gtid string"""
-_PASSED = ["source_id", "event_type", "table_id", "timestamp_ms", "file_name", "position", "next_position", "file_no", "offset", "server_id", "server_uuid", "gtid_set", "sql"]
+server_id bigint, server_uuid string, gtid_set string, sql string, rows_json string, resolved_table string, columns_json string, begin_txn string, last_txn string, current_gtid string, schema_json string"""
+_PASSED = ["source_id", "event_type", "table_id", "timestamp_ms", "file_name", "position", "next_position", "file_no", "offset", "server_id", "server_uuid", "gtid_set", "sql", "rows_json"]
+_ROWS = ("WRITE", "UPDATE", "DELETE")
+
+
+def table_columns(tracker: SchemaTracker | None, database: str, table: str, types: list[int] | None) -> str | None:
+    """Columns of a table as they are in force, as JSON of (name, type_code, is_pk): schema columns zipped with the log's type codes, cut to the shorter."""
+    found = tracker.current.table(database, table) if tracker is not None else None
+    return None if found is None else json.dumps([{"name": c.name, "type_code": t, "is_pk": c.primary_key} for c, t in zip(found, types or [])])
 
 
 class ContextProcessor(StatefulProcessor):
-    """Walks a source's events in the order of their offsets. A new file clears the table maps, not the transactions."""
+    """Walks a source's events in the order of their offsets. A new file clears the table maps, not the transactions.
+
+    Only markers are walked: statements, table maps, ids, ends of transactions. Row events stay in columns and get what the last markers
+    before them say. With history (rows of a schema history by source), statements are folded into it, every table map takes the columns
+    in force at its place, and each row that the history gains comes out as schema_json of the statement's event.
+    """
+
+    def __init__(self, history: dict[str, list[dict]] | None = None):
+        self.history = history
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("context", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        begin, last, gtid, file_no, maps = self.state.get() if self.state.exists() else (None, None, None, None, "{}")
-        tables: dict[str, str] = json.loads(maps or "{}")
-        events = pd.concat(list(rows)).sort_values("offset", kind="stable")
-        found = []
-        for e in events.itertuples(index=False):
-            if file_no is None or e.file_no != file_no:
-                file_no, tables = int(e.file_no), {}
-            marker = json.dumps({"timestamp_ms": int(e.timestamp_ms), "offset": int(e.offset), "position": f"{e.file_name}:{e.position}:{e.next_position}", "gtid": gtid})
+        was = self.state.get() if self.state.exists() else (None, None, None, None, "{}", None)
+        begin, last, gtid, file_no, maps, history = was
+        tracker = None
+        if self.history is not None:
+            tracker = SchemaTracker(json.loads(history) if history else self.history.get(key[0], []))
+        events = pd.concat(list(rows)).sort_values("offset", kind="stable", ignore_index=True)
+        kind, file = events["event_type"].to_numpy(), events["file_no"].to_numpy()
+        # Table maps hold within a stretch: up to the next file or start.
+        fresh = np.concatenate([[file_no is None or file[0] != file_no], file[1:] != file[:-1]]) | (kind == "START")
+        stretch = np.cumsum(fresh)
+        carried: dict[str, list] = json.loads(maps or "{}") if stretch[0] == 0 else {}
+        marks = np.flatnonzero(np.isin(kind, ("GTID", "TABLE_MAP", "QUERY", "XID")))
+        begins, lasts, gtids, texts = np.full(len(marks), None), np.full(len(marks), None), np.full(len(marks), None), {}
+        mapped = {(0, int(t)): tuple(v) for t, v in carried.items()}
+        placed: dict[tuple[int, int], tuple[list[int], list[tuple]]] = {k: ([-1], [v]) for k, v in mapped.items()}
+        for n, e in enumerate(events.iloc[marks].itertuples(index=False)):
+            at = int(marks[n])
             if e.event_type == "GTID":
                 gtid = e.gtid
             elif e.event_type == "TABLE_MAP":
-                tables[str(e.table_id)] = f"{e.database}:{e.table_name}"
-            elif e.event_type == "START":
-                tables = {}
-            elif e.event_type == "QUERY" and e.sql == "BEGIN":
-                begin = marker
-            elif e.event_type in ("QUERY", "XID"):
-                last = marker
-            found.append((tables.get(str(e.table_id)) if e.event_type in ("WRITE", "UPDATE", "DELETE") else None, begin, last, gtid))
-        self.state.update((begin, last, gtid, file_no, json.dumps(tables)))
+                types = None if e.column_types is None else [int(t) for t in e.column_types]
+                where = placed.setdefault((int(stretch[at]), int(e.table_id)), ([], []))
+                where[0].append(at)
+                where[1].append((f"{e.database}:{e.table_name}", table_columns(tracker, e.database, e.table_name, types)))
+            else:
+                marker = json.dumps({"timestamp_ms": int(e.timestamp_ms), "offset": int(e.offset), "position": f"{e.file_name}:{e.position}:{e.next_position}", "gtid": gtid})
+                if e.event_type == "QUERY" and e.sql == "BEGIN":
+                    begin = marker
+                else:
+                    last = marker
+                    if tracker is not None and e.event_type == "QUERY" and e.sql != "COMMIT":
+                        said = tracker.process(Statement(e.sql or "", e.database, f"{e.file_name}:{e.position}:{e.next_position}", int(e.timestamp_ms), e.server_uuid, e.gtid_set, gtid))
+                        if said:
+                            texts[at] = json.dumps(said)
+            begins[n], lasts[n], gtids[n] = begin, last, gtid
+        before = np.searchsorted(marks, np.arange(len(events)), "right")  # an event's own marker counts for itself
+        spread = lambda values, start: np.concatenate([np.array([start], dtype=object), values])[before]
         out = events[_PASSED].copy()
-        out["rows_json"] = events["rows_json"]
-        out[["resolved_table", "begin_txn", "last_txn", "current_gtid"]] = pd.DataFrame(found, index=out.index, columns=["a", "b", "c", "d"])
+        resolved, columns = np.full(len(events), None), np.full(len(events), None)
+        own = np.flatnonzero(np.isin(kind, _ROWS))
+        table = events["table_id"].to_numpy()
+        for i in own:
+            found = placed.get((int(stretch[i]), int(table[i])))
+            if found is not None:
+                k = np.searchsorted(found[0], i) - 1
+                if k >= 0:
+                    resolved[i], columns[i] = found[1][k]
+        out["resolved_table"], out["columns_json"] = resolved, columns
+        out["begin_txn"], out["last_txn"], out["current_gtid"] = spread(begins, was[0]), spread(lasts, was[1]), spread(gtids, was[2])
+        out["schema_json"] = pd.Series(texts, dtype=object).reindex(out.index).where(lambda s: s.notna(), None)
+        end = int(stretch[-1])
+        kept = {t: v[1][-1] for (s, t), v in placed.items() if s == end}
+        self.state.update((begin, last, gtid, int(file[-1]), json.dumps(kept), None if tracker is None else json.dumps(tracker.rows)))
         yield out
 
     def close(self) -> None:
         pass
 
 
-def stream_context(events: DataFrame) -> DataFrame:
-    """Context for a streaming DataFrame of log events. One source is one ordered key, as it has one log.
+def stream_context(events: DataFrame, history: dict[str, list[dict]] | None = None) -> DataFrame:
+    """Context for a streaming DataFrame of log events. One source is one ordered key, as it has one log; what a batch holds of it is in
+    memory at once, so the reader should bound a batch (maxEvents).
 
-    Needs the RocksDB state store provider. Across micro-batches the events must come in log order.
+    history: rows of a schema history (see schema.store) by source, from which statements in the stream go on; empty lists for new
+    sources. Without it tables have no columns here. Needs the RocksDB state store provider. Across micro-batches the events must
+    come in log order.
     """
-    from pyspark.sql import functions as F
+    lean = events.select(*[c for c in _PASSED if c != "rows_json"], F.to_json("rows").alias("rows_json"), "database", "table_name", "gtid", "column_types")
+    return lean.groupBy("source_id").transformWithStateInPandas(ContextProcessor(history), OUTPUT.replace("\n", " "), "Append", "None")
+
+
+def schema_rows(context: DataFrame) -> DataFrame:
+    """Rows that statements in the stream have added to the schema history, as they are kept by a SchemaStore."""
+    from tidelog.schema.store import SCHEMA
+
+    return context.filter(F.col("schema_json").isNotNull()).select("source_id", F.explode(F.from_json("schema_json", f"array<struct<{_struct_fields(SCHEMA)}>>")).alias("r")).select("source_id", "r.*")
+
+
+def _struct_fields(schema: str) -> str:
+    from pyspark.sql.types import _parse_datatype_string
 
-    lean = events.select(*_PASSED, "database", "table_name", "gtid", F.to_json("rows").alias("rows_json"))
-    return lean.groupBy("source_id").transformWithStateInPandas(ContextProcessor(), OUTPUT.replace("\n", " "), "Append", "None")
+    return ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in _parse_datatype_string(schema.replace("\n", " ")))
