@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from tidelog.functions import gtid, keys, positions, statements
 from tidelog.model import BINLOG_EVENTS, TYPE_CODES, type_name
 from tidelog.operators import enrich, filters, ledger, metrics, mutate, route, state, validate
-from tidelog.plans.feed import TABLE_KEY, table, version_order, with_term
-from tidelog.schema import store
+from tidelog.operators.asof import previous_row
+from tidelog.plans.feed import TABLE_KEY, order_hint, table, version_order, with_term
+from tidelog.schema import ddl, store
 from tidelog.session import shared_folder
-from tidelog.sources.log import COLUMNS, SERVER, decoded, log_from_events, start_condition
+from tidelog.sources import metadata
+from tidelog.sources.log import COLUMNS, SERVER, TABLES, decoded, log_from_events, start_condition
+from tidelog.streaming import pipe, sink
+from tidelog.streaming.context import stream_context
 from tidelog.streaming.mutations import TableColumns, mutation_stream
 from tidelog.streaming.sink import wire_records
 
@@ -169,7 +173,8 @@ def _routed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def o37_routed(spark: SparkSession, sf: str) -> DataFrame:
-    return route.to_pool(_routed(spark, sf), "routing_key", POOL, ["mutation_id", "event_row_position", "delivery_id"]).select("delivery_id", "routing_key", "member")
+    # A segment is 16 log files.
+    return route.to_pool(_routed(spark, sf), "routing_key", POOL, ["mutation_id", "event_row_position", "delivery_id"], segment=F.shiftright("mutation_id", 36)).select("delivery_id", "routing_key", "member")
 
 
 def o38_databases(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,7 +206,7 @@ def o43_counters(spark: SparkSession, sf: str) -> DataFrame:
 
 def o44_histograms(spark: SparkSession, sf: str) -> DataFrame:
     lag = F.unix_millis(F.col("delivered_at").cast("timestamp")) - F.col("ts_ms")
-    found = metrics.histograms(_mutations(spark, sf).withColumn("lag_ms", lag), "mutation.lag", "lag_ms", ["database_name", "table_name"])
+    found = metrics.histograms(_mutations(spark, sf).withColumn("lag_ms", lag), "mutation.lag", "lag_ms", ["database_name", "table_name"], exact=True)
     return found.withColumns({c: F.round(c, 3) for c in ("mean", "p50", "p95")})
 
 
@@ -210,7 +215,7 @@ def o45_lag_gauge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def o48_pool_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
-    published = route.to_pool(_routed(spark, sf), "routing_key", POOL, ["mutation_id"]).withColumnRenamed("delivery_id", "offset")
+    published = route.with_member(_routed(spark, sf), "routing_key", POOL).withColumnRenamed("delivery_id", "offset")
     members = spark.range(POOL).select(F.col("id").cast("int").alias("member"), (F.col("id") != IDLE_MEMBER).alias("active"))
     return route.pool_checkpoint(published, members)
 
@@ -280,24 +285,164 @@ def o75_delayed(spark: SparkSession, sf: str) -> DataFrame:
     return route.delayed(_mutations(spark, sf), NOW_MS, DELAY_MS).select("delivery_id", "ts_ms")
 
 
-def o80_streamed_mutations(spark: SparkSession, sf: str) -> DataFrame:
-    """The log as a stream: context in state, subscribed tables beyond a saved state, mutations into a file sink; then read."""
-    folder = shared_folder(spark, "streamed")
-    _log(spark, sf).write.parquet(f"{folder}/log")
+def _rocksdb(spark: SparkSession, run: Callable[[], None]) -> None:
+    """Run with the state store that stateful streams need; the session's setting comes back."""
     provider, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        events = spark.readStream.schema(BINLOG_EVENTS.replace("\n", " ")).parquet(f"{folder}/log")
-        made = mutation_stream(events, {t: TableColumns(COLUMNS, ("user_id",)) for t in SUBSCRIBED}, state.SourceState(last_offset=LAST_OFFSET))
-        query = made.writeStream.format("parquet").option("path", f"{folder}/mutations").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
+        run()
     finally:
         spark.conf.set(provider, before) if before else spark.conf.unset(provider)
-    found = spark.read.schema(made.schema).parquet(f"{folder}/mutations")
+
+
+def o80_streamed_mutations(spark: SparkSession, sf: str) -> DataFrame:
+    """The log as a stream through a pipe: context in state, subscribed tables beyond a saved state, mutations into files; then read."""
+    folder = shared_folder(spark, "streamed")
+    _log(spark, sf).write.parquet(f"{folder}/log")
+    saved = state.SourceState(last_offset=LAST_OFFSET)
+
+    def build(session: SparkSession, _: state.SourceState) -> DataFrame:
+        events = session.readStream.schema(BINLOG_EVENTS.replace("\n", " ")).parquet(f"{folder}/log")
+        return mutation_stream(events, {t: TableColumns(COLUMNS, ("user_id",)) for t in SUBSCRIBED}, saved)
+
+    made = build(spark, saved).schema
+
+    def run() -> None:
+        p = pipe.Pipe("o80", build, sink.Destination(sink.file_sink(f"{folder}/mutations")), f"{folder}/checkpoint", {"availableNow": True})
+        p.open(spark)
+        p.query.awaitTermination()
+        p.close()
+
+    spark.createDataFrame([], made).write.parquet(f"{folder}/mutations/batch=-1")  # so that there is a table without mutations, too
+    _rocksdb(spark, run)
+    found = spark.read.schema(made).parquet(f"{folder}/mutations")
     offset = lambda c: F.get_json_object(c, "$.offset").cast("long")
     return found.select("offset", "event_row_position", "op_seq", "op", "database_name", "table_name", "routing_key", offset("begin_txn").alias("begin_offset"), offset("last_txn").alias("last_offset"), _image_text("entity").alias("entity_text"))
 
 
+def o27_streamed_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """The log with statements that rename a column of one table to and fro: names of the columns in force at each row event."""
+    folder = shared_folder(spark, "columns")
+    txn = F.shiftright("offset", 32)  # the file's number
+    renamed = F.when((txn + F.floor(F.col("position") / 700)) % 2 == 0, "ALTER TABLE shop.users CHANGE event_type kind varchar(20)").otherwise("ALTER TABLE shop.users CHANGE kind event_type varchar(20)")
+    _log(spark, sf).withColumn("sql", F.when(F.col("sql") == "BEGIN", F.col("sql")).otherwise(F.when(F.col("sql").isNotNull(), renamed))).withColumn("gtid", F.lit(None).cast("string")).write.parquet(f"{folder}/log")
+    tracker = store.SchemaTracker()
+    tracker.bootstrap(ddl.Catalog({"shop": {t.split(":")[1]: [ddl.Column("user_id", "bigint", "bigint", True), ddl.Column("event_type", "varchar", "varchar(20)"), ddl.Column("value", "double", "double")] for t in TABLES}}), ":4:4")
+    context = stream_context(spark.readStream.schema(BINLOG_EVENTS.replace("\n", " ")).parquet(f"{folder}/log"), {"shop-log": tracker.rows})
+
+    def run() -> None:
+        context.writeStream.format("parquet").option("path", f"{folder}/context").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    _rocksdb(spark, run)
+    found = spark.read.schema(context.schema).parquet(f"{folder}/context").filter("columns_json is not null")
+    names = F.transform(F.from_json("columns_json", "array<struct<name:string>>"), lambda c: c["name"])
+    return found.select("offset", "resolved_table", F.array_join(names, ",").alias("names"))
+
+
+def o20_mapped_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Which kinds of events make mutations."""
+    return _log(spark, sf).filter(filters.known_type()).groupBy("event_type", mutate.mapped().alias("mapped")).agg(F.count("*").alias("n"))
+
+
+def o41_typed_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of new images by the types of their columns, as bytes and back."""
+    m = _mutations(spark, sf)
+    code = F.try_element_at(F.map_from_entries(F.transform("table_columns", lambda c: F.struct(c["col_name"], c["col_type"]))), F.col("k")).cast("int")
+    values = m.select("delivery_id", "table_columns", F.explode("entity").alias("k", "v")).withColumn("code", code).filter((F.col("code") != 0) | F.col("code").isNull())
+    whole = F.coalesce(F.col("code").isin(*mutate.WHOLE_NUMBERS), F.lit(False))
+    data = values.withColumn("data", mutate.typed_bytes(F.when(~whole | F.col("v").try_cast("bigint").isNotNull(), F.col("v")), F.coalesce("code", F.lit(253))))
+    back = mutate.typed_value(F.col("data"), F.coalesce("code", F.lit(253)))
+    return data.groupBy("code").agg(F.count("*").alias("n"), F.count("data").alias("with_data"), F.sum(F.octet_length("data")).alias("n_bytes"), F.count_if(back == F.when(whole, F.col("v").try_cast("bigint").cast("string")).otherwise(F.col("v"))).alias("back"), F.max(F.hex("data")).alias("highest"))
+
+
+def o06_server_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns of tables as read from a server's catalog (made here of the recorded versions), gathered by table in their order."""
+    v = table(spark, sf, "schema_history").filter(F.size("column_list") > 0)
+    rows = v.select(F.concat_ws("/", "source_id", "database_name", F.col("schema_id").cast("string")).alias("TABLE_SCHEMA"), F.col("table_name").alias("TABLE_NAME"), F.posexplode("column_list").alias("ORDINAL_POSITION", "c"))
+    catalog = rows.select("TABLE_SCHEMA", "TABLE_NAME", F.col("c.col_name").alias("COLUMN_NAME"), F.col("c.data_type").alias("DATA_TYPE"), F.col("c.column_type").alias("COLUMN_TYPE"), F.when(F.col("c.primary_key"), "PRI").otherwise("").alias("COLUMN_KEY"), "ORDINAL_POSITION")
+    text = F.array_join(F.transform("columns", lambda c: F.concat_ws(" ", c["name"], c["column_type"], c["primary_key"].cast("string"))), ",")
+    return metadata.table_columns(catalog).select(F.col("database").alias("place"), "table_name", text.alias("columns_text"))
+
+
+def _version_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Versions with what the table had before (was, at)."""
+    rows = version_order(table(spark, sf, "schema_history"), table(spark, sf, "data_sources")).dropna(subset=TABLE_KEY)
+    return previous_row(rows, TABLE_KEY, ["term_no", "change_id", "schema_id"], ["column_list", "binlog_file_position"], order_hint(), "was")
+
+
+def o52_applied_statements(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns that statements make of a table's version before: what was then recorded. Statements recorded twice are looked at once."""
+    some = _version_pairs(spark, sf).filter((F.size("was.column_list") > 0) & F.col("sql_text").isNotNull() & ~F.col("was.binlog_file_position").eqNullSafe(F.col("binlog_file_position")))
+    made = store.applied(some.withColumn("had", F.col("was.column_list")), "sql_text", "database_name", "table_name", "had", "made")
+    text = F.array_join(F.array_sort(F.transform("made", lambda c: F.concat_ws(" ", F.lower(c["name"]), F.lower(F.regexp_replace(c["column_type"], r"\s", ""))))), ",")
+    return made.select("schema_id", text.alias("columns_text"))
+
+
+def o53_changed_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """What the schemas read up to each source's last valid state must gain to become those at the end of the history."""
+    some = lambda df: df.filter(F.size("column_list") > 0)
+    judged = _judged_history(spark, sf)
+    before = some(store.until(judged, F.col("after"), TABLE_KEY, "schema_id", ["source_id"]))
+    after = some(store.until(judged, F.lit(False), TABLE_KEY, "schema_id", ["source_id"]))
+    return store.changed_tables(before, after, TABLE_KEY, "column_list").select(*TABLE_KEY, F.size("column_list").alias("n_columns"))
+
+
+def o54_prefixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Statements about tables with the source's name before the database's."""
+    rows = table(spark, sf, "schema_history").filter(F.col("sql_text").rlike(r"(?i)^(alter|drop|create)\s+table\s"))
+    return rows.select("schema_id", store.prefixed("sql_text", "source_id").alias("statement"))
+
+
+def o56_stored_schemas(spark: SparkSession, sf: str) -> DataFrame:
+    """The history put into a store, then asked by position, by gtid, and after a second append of the same rows."""
+    h = table(spark, sf, "schema_history")
+    columns = F.transform("column_list", lambda c: F.struct(c["col_name"].alias("name"), c["data_type"].alias("data_type"), c["column_type"].alias("column_type"), c["primary_key"].alias("primary_key")))
+    rows = h.select(F.col("schema_id").alias("id"), F.col("database_name").alias("database"), "table_name", F.col("binlog_file_position").alias("position"), "server_uuid", "gtid_set", "gtid", F.col("sql_text").alias("sql"), F.unix_millis(F.col("recorded_at").cast("timestamp")).alias("timestamp_ms"), columns.alias("columns"), F.col("meta_data").alias("metadata"))
+    kept = store.SchemaStore(spark, shared_folder(spark, "schemas"))
+    kept.append(rows)
+    kept.append_new(rows)
+    marks = h.agg(F.max("binlog_file_position").alias("p"), F.max("gtid").alias("g")).first()
+    found = kept.at(marks.p).select("id", F.lit("position").alias("asked_by")).unionByName(kept.by_gtid(marks.g).select("id", F.lit("gtid").alias("asked_by"))) if marks.p is not None else kept.read().limit(0).select("id", F.lit("").alias("asked_by"))
+    return found.unionByName(kept.read().agg(F.count("*").alias("id")).select("id", F.lit("rows").alias("asked_by")))
+
+
+def o59_initialized(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalog that a source's tracker starts with, read up to the source's last valid state; of the first source by name."""
+    rows = _judged_history(spark, sf)
+    first = rows.agg(F.min("source_id")).first()[0]
+    columns = F.transform("column_list", lambda c: F.struct(c["col_name"].alias("name"), c["data_type"].alias("data_type"), c["column_type"].alias("column_type"), c["primary_key"].alias("primary_key")))
+    own = rows.filter(F.col("source_id") == F.lit(first)).select(F.col("schema_id").alias("id"), F.col("database_name").alias("database"), "table_name", F.col("binlog_file_position").alias("position"), "server_uuid", "gtid_set", "gtid", F.col("sql_text").alias("sql"), columns.alias("columns"), "after")
+    tracker = store.SchemaTracker.initialize(own, F.coalesce(F.col("after"), F.lit(False)), ddl.Catalog(), ":4:4")
+    found = [(d, t, len(c)) for d, tables in tracker.current.databases.items() for t, c in tables.items()]
+    return spark.createDataFrame(found, "database_name string, table_name string, n_columns int")
+
+
+def o76_buffered(spark: SparkSession, sf: str) -> DataFrame:
+    """Deliveries in batches through a buffer of two into files; what arrived, by table."""
+    folder = shared_folder(spark, "buffered")
+    rows = _mutations(spark, sf).select(F.col("delivery_id").alias("offset"), "ts_ms", "source_id", "table_name")
+    rows.limit(0).write.parquet(f"{folder}/out/batch=-1")
+    d = sink.build_destination(sink.file_sink(f"{folder}/out"), lambda df: df, buffer_size=2, spark=spark, buffers=f"{folder}/buffer")
+    d.open()
+    for n in range(4):
+        d.send(rows.filter(F.pmod(F.xxhash64("offset"), F.lit(4)) == n), n)
+    d.close(3600.0)
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out").groupBy("source_id", "table_name").agg(F.count("*").alias("n"), F.max("offset").alias("last_offset"))
+
+
+def o77_pooled(spark: SparkSession, sf: str) -> DataFrame:
+    """Deliveries through a pool of members that write on their own; the member that each came to."""
+    folder = shared_folder(spark, "pooled")
+    rows = _routed(spark, sf).withColumnRenamed("delivery_id", "offset").withColumn("ts_ms", F.lit(0).cast("long"))
+    rows.limit(0).write.parquet(f"{folder}/batch=-1")
+    d = sink.build_destination(sink.file_sink(folder), lambda df: df, pool_size=POOL)
+    d.open()
+    d.send(rows, 0)
+    d.close()
+    found = spark.read.parquet(folder)
+    return found.select(F.col("offset").alias("delivery_id"), F.col("batch").cast("int").alias("member"))
+
+
 def type_names(spark: SparkSession, sf: str) -> DataFrame:
     codes = _mutations(spark, sf).select(F.explode("table_columns").alias("c")).select(F.col("c.col_type").alias("code")).distinct()
     return codes.select("code", type_name("code").alias("type_name"))
@@ -310,7 +455,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         o22_zipped_rows, o23_table_maps, o23_map_refetches, o24_table_columns, o26_transaction_context, o29_event_header, o30_gtid_canonical, o30_gtid_collapsed, o30_gtid_contained, o31_positions,
         o32_mutations, o35_changed_columns, o36_pk_text, o37_routed, o38_databases, o40_wire_records, o42_joined, o43_counters, o44_histograms, o45_lag_gauge, o48_pool_checkpoint,
         o55_schemas_until, o57_compress, o58_without_comments, o60_kept_history, o60_kept_history_full, o61_fenced, o63_accepted_checkpoints, o64_rollback_targets, o66_event_order, o67_mutation_order,
-        o68_schema_violations, o75_delayed, o80_streamed_mutations, type_names,
+        o68_schema_violations, o75_delayed, o80_streamed_mutations, o27_streamed_columns, o20_mapped_kinds, o41_typed_bytes, o06_server_columns, o52_applied_statements, o53_changed_tables, o54_prefixed,
+        o56_stored_schemas, o59_initialized, o76_buffered, o77_pooled, type_names,
     )
 }
 
@@ -444,5 +590,35 @@ select schema_id from o where table_name is null and older union all select sche
     "o80_streamed_mutations": f"""with {_LOG}, {_ROW_IMAGES}, {_CONTEXT}
 select m."offset", event_row_position, op_seq, op, 'shop' as database_name, substr(p.resolved_table, 6) as table_name, p.resolved_table || ':' || entity['user_id'] as routing_key, c.begin_offset, c.last_offset, {_text("entity")} as entity_text
 from mut m join context c using (i) join mapped p using (i) where p.resolved_table in ('shop:users', 'shop:carts') and m."offset" > {LAST_OFFSET}""",
+    "o20_mapped_kinds": f"""with {_LOG} select event_type, {_IS_ROW} as mapped, count(*) as n from log group by all""",
+    "o27_streamed_columns": f"""with {_LOG}, said as (select i, (file_no + position // 700) % 2 = 0 as to_kind, row_number() over (order by i) as k from log where event_type = 'QUERY' and txn % 11 = 10),
+-- a rename counts if the column has the name that it renames
+kept as (select i, to_kind, lag(to_kind) over (order by i) as before from said), real as (select i, to_kind from kept where to_kind <> coalesce(before, false)),
+m as (select l.i, l."offset", l.txn % 3 as r, (select max(t.i) from log t where t.event_type = 'TABLE_MAP' and t.file_no = l.file_no and t.i <= l.i and t.txn % 3 = l.txn % 3) as at from log l where {_IS_ROW})
+select "offset", ['shop:users', 'shop:visits', 'shop:carts'][r + 1] as resolved_table,
+  case when r = 0 and (select arg_max(to_kind, real.i) from real where real.i < m.at) then 'user_id,kind,value' else 'user_id,event_type,value' end as names from m where m.at is not null""",
+    "o41_typed_bytes": """with e as (select delivery_id, unnest(map_keys(entity)) as k, unnest(map_values(entity)) as v, table_columns from mutations),
+c as (select v, (list_filter(table_columns, lambda c: c.col_name = k)[1]).col_type::integer as code from e),
+w as (select *, coalesce(code in (1, 2, 3, 8, 9, 13, 247, 248), false) as whole, try_cast(v as bigint) as b from c where code is distinct from 0)
+select code, count(*) as n, count(case when whole then b::varchar else v end) as with_data, cast(sum(case when whole and b is not null then 8 when not whole then octet_length(encode(v)) end) as bigint) as n_bytes,
+  count(case when whole then b::varchar else v end) as back, max(case when whole then upper(case when b < 0 then printf('%016x', b::hugeint + 18446744073709551616::hugeint) else printf('%016x', b) end) else hex(encode(v)) end) as highest from w group by code""",
+    "o06_server_columns": """select source_id || '/' || database_name || '/' || schema_id as place, table_name, array_to_string(list_transform(column_list, lambda c: c.col_name || ' ' || c.column_type || ' ' || c.primary_key), ',') as columns_text from schema_history where len(column_list) > 0""",
+    "o52_applied_statements": f"""with {_MARK}, p as (select schema_id, sql_text, column_list, binlog_file_position as at, lag(column_list) over w as was, lag(binlog_file_position) over w as was_at
+  from j where table_name is not null window w as (partition by source_id, database_name, table_name order by term_no, id, schema_id))
+select schema_id, array_to_string(list_sort(list_transform(column_list, lambda c: lower(c.col_name) || ' ' || lower(regexp_replace(c.column_type, '\\s', '', 'g')))), ',') as columns_text from p where len(was) > 0 and sql_text is not null and was_at is distinct from p.at""",
+    "o53_changed_tables": f"""with {_MARK}, stop as (select source_id, min(schema_id) as s from judged where after group by 1),
+b as (select source_id, database_name, table_name, arg_max(column_list, schema_id) as c from judged d left join stop using (source_id) where table_name is not null and (s is null or schema_id < s) group by 1, 2, 3),
+a as (select source_id, database_name, table_name, arg_max(column_list, schema_id) as c from judged where table_name is not null group by 1, 2, 3)
+select coalesce(a.source_id, b.source_id) as source_id, coalesce(a.database_name, b.database_name) as database_name, coalesce(a.table_name, b.table_name) as table_name, coalesce(len(a.c), 0)::integer as n_columns
+from (select * from a where len(c) > 0) a full join (select * from b where len(c) > 0) b on a.source_id = b.source_id and a.database_name = b.database_name and a.table_name = b.table_name where a.c is distinct from b.c""",
+    "o54_prefixed": """select schema_id, regexp_replace(sql_text, '(?i)^(\\w+\\s+table\\s+(?:if\\s+(?:not\\s+)?exists\\s+)?)`?(\\w+)`?\\.`?(\\w+)`?', '\\1`' || source_id || '/\\2`.`\\3`') as statement
+from schema_history where regexp_matches(sql_text, '^(alter|drop|create)\\s+table\\s', 'i')""",
+    "o56_stored_schemas": """select schema_id as id, 'position' as asked_by from schema_history where binlog_file_position = (select max(binlog_file_position) from schema_history)
+union all select schema_id, 'gtid' from schema_history where gtid = (select max(gtid) from schema_history) union all select count(*), 'rows' from schema_history""",
+    "o59_initialized": f"""with {_MARK}, d as (select * from judged where source_id = (select min(source_id) from schema_history)), l as (
+  select database_name, table_name, arg_max(column_list, schema_id) as c from d where table_name is not null and schema_id < coalesce((select min(schema_id) from d where after), 9223372036854775807) group by 1, 2)
+select database_name, table_name, len(c)::integer as n_columns from l where len(c) > 0""",
+    "o76_buffered": """select source_id, table_name, count(*) as n, max(delivery_id) as last_offset from mutations group by 1, 2""",
+    "o77_pooled": f"""with {_KEYED} select delivery_id, member from member""",
     "type_names": "select distinct c.col_type as code, case c.col_type " + " ".join(f"when {k} then '{n}'" for k, (n, _) in TYPE_CODES.items()) + " else 'UNKNOWN' end as type_name from (select unnest(table_columns) as c from mutations)",
 }
