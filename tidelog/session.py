@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -27,6 +28,13 @@ def build_session(app: str = "tidelog", cores: int | str = "*", **conf: str) ->
     return SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=settings).getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster on which it is not installed: its Python operators run there. Once a session is enough."""
+    with tempfile.TemporaryDirectory() as folder:
+        here = os.path.dirname(os.path.abspath(__file__))
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/tidelog", "zip", os.path.dirname(here), os.path.basename(here)))
+
+
 _own_root: list[str] = []
 
 
