@@ -145,7 +145,7 @@ def batches_by(df: DataFrame, column: str, runs: int) -> Column:
 def repeated_deliveries(df: DataFrame, identity: list[str], order: list[str], delivery: str, batch: str, runs: int = 4, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(first copies, repeated deliveries) through a CopyStore.
 
-    delivery must be unique; it is also the last tie-break if order holds it. Repeats are all rows whose delivery is not
+    delivery must be unique; it is also the last tie-break if order holds it; rows without one cannot be named and are all repeats. Repeats are all rows whose delivery is not
     a first copy's: an anti-join on the unique delivery, which cannot be uneven. path: of a store that lasts; else it is one of
     this application (see session.remove_working_tables). An empty df has no copies.
     """

@@ -156,10 +156,8 @@ def p4_unified(spark: SparkSession, sf: str) -> DataFrame:
     plans = routes.join(extra, TABLE_KEY).select("version_key", drift.column_plan(F.col("route"), F.col("target"), F.col("extra")).alias("plan"))
     tables.select(*TABLE_KEY, "places", "by_list", "first", drift.extra_plan(F.col("extra")).alias("unknown")).write.parquet(f"{(path := shared_folder(spark, 'drift'))}/tables")
     plans.write.parquet(f"{path}/plans")
-    all_versions = table(spark, sf, "schema_history").select(F.lit(1)).unionAll(lists.select(F.lit(1)))  # bounds the size of both
-
     rows = _ordered(spark, sf).select("delivery_id", *TABLE_KEY, "entity", "table_columns", "term_no", "change_id")
-    rows = rows.join(small_side(spark.read.parquet(f"{path}/tables"), at_most=all_versions), TABLE_KEY, "left")
+    rows = rows.join(small_side(spark.read.parquet(f"{path}/tables")), TABLE_KEY, "left")
     before = lambda places: F.try_element_at(F.filter(places, lambda v: F.struct(v["term_no"], v["change_id"]) <= F.struct("term_no", "change_id")), F.lit(-1))["version"]
     force = before(F.col("places"))
     same = F.try_element_at("by_list", drift.kind_fingerprint(F.array_sort(drift.listed_kinds(F.col("table_columns")))))
@@ -168,7 +166,7 @@ def p4_unified(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.withColumn("force", force).withColumn("force", F.when(F.size("force.names") > 0, F.col("force")))
     rows = rows.withColumn("chosen", F.coalesce(fits(F.col("force")), fits(listed), fits(F.col("first")), "force", listed, "first"))
     lean = rows.select("delivery_id", *TABLE_KEY, "entity", "unknown", F.col("chosen.schema_id").alias("schema_id"), F.col("chosen.version_key").alias("version_key"))
-    routed = lean.join(small_side(spark.read.parquet(f"{path}/plans"), at_most=all_versions), "version_key", "left")
+    routed = lean.join(small_side(spark.read.parquet(f"{path}/plans")), "version_key", "left")
     row = drift.planned_image(F.col("entity"), F.coalesce("plan", "unknown", F.array().cast(drift.PLAN)))
     text = F.array_join(F.transform(row, lambda c: F.concat_ws("=", c["name"], F.coalesce(c["value"], F.lit("\\N")))), ";")
     return routed.select("delivery_id", *TABLE_KEY, "schema_id", text.alias("unified_row"))

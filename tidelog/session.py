@@ -10,9 +10,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows up to which a dimension is broadcast. Beyond it the join is left to the planner (sort-merge, AQE skew split).
 BROADCAST_ROWS = 200_000
+#: Characters of its texts, arrays and maps, written out.
+BROADCAST_BYTES = 128 << 20
 
 
 def build_session(app: str = "tidelog", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -73,13 +76,17 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, at_most: DataFrame | None = None) -> DataFrame:
-    """Mark df for broadcasting if a count proves that it has at most max_rows rows, else return it unmarked.
+    """Mark df for broadcasting if it is proved to have at most max_rows rows and BROADCAST_BYTES of texts, else return it unmarked.
 
-    The count stops after max_rows + 1 rows. at_most: a DataFrame that has as many rows as df or more and is cheaper to count. An
-    unmarked side gets whatever join the planner picks.
+    Rows after the first max_rows + 1 are not looked at. at_most: a DataFrame that has as many rows (or entries of df's maps and arrays) as df
+    or more, of bounded width, and is cheaper to count. An unmarked side gets whatever join the planner picks.
     """
-    proof = df if at_most is None else at_most
-    return F.broadcast(df) if proof.limit(max_rows + 1).count() <= max_rows else df
+    if at_most is not None:
+        return F.broadcast(df) if at_most.limit(max_rows + 1).count() <= max_rows else df
+    wide = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
+    width = F.sum(sum((F.coalesce(F.length(F.to_json(F.struct(F.col(f"`{c}`").alias("x")))), F.lit(0)) for c in wide), F.lit(0)))
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(width, F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= BROADCAST_BYTES else df
 
 
 def spread_out(df: DataFrame) -> DataFrame:
