@@ -299,22 +299,24 @@ def extra_plan(names: Column) -> Column:
     return F.transform(names, lambda n: F.struct(n.alias("name"), F.array(n).alias("names"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("fill"))).cast(PLAN)
 
 
-def planned_image(image: Column, plan: Column) -> Column:
-    """Array of (name, value) in the order of names: all columns of the plan, and what else the image has under its own name. Null image: empty.
+def planned_rows(rows: DataFrame, image: str, plan: str, into: str) -> DataFrame:
+    """Rows with `into`: an array of (name, value) in the order of names, all columns of the plan and what else the image has under its own name.
 
-    Names are compared in lower case; of names that are then equal the first counts.
+    Names are compared in lower case; of names that are then equal the first counts. A null image or plan is an empty one. What every column
+    of a row needs is made once a row, in a projection of its own.
     """
     keys = F.map_keys(image)
     lower = F.transform(keys, F.lower)
-    same = F.forall(keys, lambda k: k == F.lower(k))
     firsts = F.filter(F.transform(F.map_entries(image), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))), lambda e, i: F.array_position(lower, e["key"]) == i + 1)
-    low = F.coalesce(F.when(same, image).otherwise(F.map_from_entries(firsts)), F.create_map().cast("map<string,string>"))
+    low = F.coalesce(F.when(F.forall(keys, lambda k: k == F.lower(k)), F.col(image)).otherwise(F.map_from_entries(firsts)), F.create_map().cast("map<string,string>"))
+    made = rows.withColumns({"_low": low, "_plan": F.coalesce(F.col(plan), F.array().cast(PLAN))})
 
     def value(c: Column) -> Column:
-        at = F.when(F.map_contains_key(low, F.get(c["names"], F.lit(0))), F.get(c["names"], F.lit(0))).otherwise(F.get(F.filter(c["names"], lambda n: F.map_contains_key(low, n)), F.lit(0)))
-        return F.when(at.isNull(), c["fill"]).otherwise(_cast(F.try_element_at(low, at), c["kind"]))
-
-    row = F.transform(plan, lambda c: F.struct(c["name"].alias("name"), value(c).alias("value")))
-    stray = F.array_except(F.map_keys(low), F.flatten(F.transform(plan, lambda c: c["names"])))
-    more = F.concat(F.filter(row, lambda c: ~F.array_contains(stray, c["name"])), F.transform(stray, lambda n: F.struct(n.alias("name"), F.try_element_at(low, n).alias("value"))))
-    return F.when(F.size(stray) == 0, row).otherwise(F.array_sort(more))
+        first = F.get(c["names"], F.lit(0))
+        other = F.get(F.filter(c["names"], lambda n: F.map_contains_key("_low", n)), F.lit(0))
+        return F.when(F.map_contains_key("_low", first), _cast(F.try_element_at("_low", first), c["kind"])).when((F.size(c["names"]) > 1) & other.isNotNull(), _cast(F.try_element_at("_low", other), c["kind"])).otherwise(c["fill"])
+
+    row = F.transform("_plan", lambda c: F.struct(c["name"].alias("name"), value(c).alias("value")))
+    made = made.withColumns({"_row": row, "_stray": F.array_except(F.map_keys("_low"), F.flatten("_plan.names"))})
+    more = F.concat(F.filter("_row", lambda c: ~F.array_contains("_stray", c["name"])), F.transform("_stray", lambda n: F.struct(n.alias("name"), F.try_element_at("_low", n).alias("value"))))
+    return made.withColumn(into, F.when(F.size("_stray") == 0, F.col("_row")).otherwise(F.array_sort(more))).drop("_low", "_plan", "_row", "_stray")

@@ -167,8 +167,8 @@ def p4_unified(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.withColumn("chosen", F.coalesce(fits(F.col("force")), fits(listed), fits(F.col("first")), "force", listed, "first"))
     lean = rows.select("delivery_id", *TABLE_KEY, "entity", "unknown", F.col("chosen.schema_id").alias("schema_id"), F.col("chosen.version_key").alias("version_key"))
     routed = lean.join(small_side(spark.read.parquet(f"{path}/plans")), "version_key", "left")
-    row = drift.planned_image(F.col("entity"), F.coalesce("plan", "unknown", F.array().cast(drift.PLAN)))
-    text = F.array_join(F.transform(row, lambda c: F.concat_ws("=", c["name"], F.coalesce(c["value"], F.lit("\\N")))), ";")
+    routed = drift.planned_rows(routed.withColumn("_planned", F.coalesce("plan", "unknown")), "entity", "_planned", "unified")
+    text = F.array_join(F.transform("unified", lambda c: F.concat_ws("=", c["name"], F.coalesce(c["value"], F.lit("\\N")))), ";")
     return routed.select("delivery_id", *TABLE_KEY, "schema_id", text.alias("unified_row"))
 
 
