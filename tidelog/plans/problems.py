@@ -135,10 +135,14 @@ def p4_unified(spark: SparkSession, sf: str) -> DataFrame:
     Versions are control data: what can be worked out of them is, once a version, and put beside the images by joins that broadcast
     it if a count proves it small. Images are not shuffled then."""
     lists = _feed_lists(spark, sf)
-    kinds = _kinds(spark, sf)
+    kinds = _kinds(spark, sf)  # looked at several times: control data, kept in a working table
+    kinds.write.parquet(at := shared_folder(spark, "kinds"))
+    kinds = spark.read.parquet(at)
     history = kinds.unionByName(_as_versions(lists).filter("early").drop("early"), allowMissingColumns=True)
     order = [*_VERSION_ORDER, "version_key"]
-    versions = drift.schema_versions(history, TABLE_KEY, order, order_hint())
+    path = shared_folder(spark, "drift")
+    drift.schema_versions(history, TABLE_KEY, order, order_hint()).drop("renames", "fingerprint", "column_list").write.parquet(f"{path}/versions")
+    versions = spark.read.parquet(f"{path}/versions")
     routes = drift.unified_columns(drift.lineage(versions, TABLE_KEY, order, "version_key"), versions, TABLE_KEY, order, "version_key", "sql_text")
 
     # Of each table: its versions by place (the lowest id of a place), by fingerprint, the first one, and names that only the feed has.
@@ -154,7 +158,7 @@ def p4_unified(spark: SparkSession, sf: str) -> DataFrame:
     extra = extra.select(*TABLE_KEY, F.array_sort(F.array_except(F.coalesce("seen", F.array().cast("array<string>")), F.coalesce("known", F.array().cast("array<string>")))).alias("extra"))
     tables = extra.join(by_place, TABLE_KEY, "left").join(by_list, TABLE_KEY, "left").join(first, TABLE_KEY, "left")
     plans = routes.join(extra, TABLE_KEY).select("version_key", drift.column_plan(F.col("route"), F.col("target"), F.col("extra")).alias("plan"))
-    tables.select(*TABLE_KEY, "places", "by_list", "first", drift.extra_plan(F.col("extra")).alias("unknown")).write.parquet(f"{(path := shared_folder(spark, 'drift'))}/tables")
+    tables.select(*TABLE_KEY, "places", "by_list", "first", drift.extra_plan(F.col("extra")).alias("unknown")).write.parquet(f"{path}/tables")
     plans.write.parquet(f"{path}/plans")
     rows = _ordered(spark, sf).select("delivery_id", *TABLE_KEY, "entity", "table_columns", "term_no", "change_id")
     rows = rows.join(small_side(spark.read.parquet(f"{path}/tables")), TABLE_KEY, "left")
