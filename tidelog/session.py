@@ -33,9 +33,10 @@ def build_session(app: str = "tidelog", cores: int | str = "*", **conf: str) ->
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors of a cluster on which it is not installed: its Python operators run there. Once a session is enough."""
-    with tempfile.TemporaryDirectory() as folder:
-        here = os.path.dirname(os.path.abspath(__file__))
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/tidelog", "zip", os.path.dirname(here), os.path.basename(here)))
+    folder = tempfile.mkdtemp(prefix="tidelog-package-")  # the driver serves the file from here for as long as executors come and go
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    here = os.path.dirname(os.path.abspath(__file__))
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/tidelog", "zip", os.path.dirname(here), os.path.basename(here)))
 
 
 _own_root: list[str] = []
