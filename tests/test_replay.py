@@ -3,6 +3,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidelog.operators import replay, skew
+from tidelog.plans import problems
 
 SCHEMA = "key string, seq long, op int, image map<string,string>, extra string"
 
@@ -75,3 +76,43 @@ def test_any_order_any_cut_equals_sequential_replay(spark, made):
     assert run(spark, rows, cuts=True) == run(spark, rows) == want
     for cuts in (False, True):
         assert places(spark, rows, cuts) == {k: seq for k, (seq, _) in want.items()}
+
+
+def test_places_without_images_come_from_the_state_machine(spark):
+    """What is not after the last applied change is skipped, whether images are asked for or not."""
+    rows = [("a", 1, 1, {"x": "1"}, None), ("a", 1, 3, None, None), ("b", 1, 1, {"x": "1"}, None), ("b", 4, 2, {"y": "4"}, None), ("b", 4, 3, None, None), ("c", 2, 3, None, None)]
+    rows += [("hot", i // 2, 2 + i % 2, {f"c{i % 3}": str(i)}, None) for i in range(60)]
+    for cuts in (False, True):
+        got = run(spark, rows, cuts)
+        assert got == {"a": (1, {"x": "1"}), "b": (4, {"x": "1", "y": "4"}), "hot": (29, {"c0": "54", "c1": "58", "c2": "56"})}
+        assert places(spark, rows, cuts) == {k: seq for k, (seq, _) in got.items()}
+
+
+def test_rows_of_p1_are_replayed_whole(spark, monkeypatch, tmp_path):
+    """Partial updates of p1_found's rows are merged: images go into its state machine and come out whole."""
+    calls, whole = [], replay.replay
+    monkeypatch.setattr(replay, "replay", lambda *a: calls.append(whole(*a)) or calls[-1])
+    kinds = "source_id string, server_uuid string, mutation_id long, binlog_pos string, event_row_position int, mutation_type int, database_name string, table_name string, primary_key array<string>, entity map<string,string>, previous_entity map<string,string>"
+    changes = [(1, 1, {"id": "7", "x": "1", "y": "1"}, None), (2, 2, {"id": "7", "y": "2"}, {"y": "1"}), (3, 2, {"id": "7", "z": "3"}, None), (1, 1, {"id": "8"}, None), (4, 3, {"id": "8"}, None)]
+    spark.createDataFrame([("s", "u", n, None, 0, kind, "d", "t", ["id"], new, old) for n, kind, new, old in changes], kinds).write.parquet(f"{tmp_path}/mutations.parquet")
+    spark.createDataFrame([("s", 1, "u")], "source_id string, term_no int, server_uuid string").write.parquet(f"{tmp_path}/data_sources.parquet")
+    assert [tuple(r) for r in problems.p1_found(spark, str(tmp_path)).collect()] == [("s", "d", "t", "7", 3, 0)]
+    assert [r.entity for r in calls[0].collect()] == [{"id": "7", "x": "1", "y": "2", "z": "3"}]
+
+
+def test_states_are_carried_from_batch_to_batch(spark):
+    rows = [(k, i, 3 if i % 37 == 0 else 1 if i % 23 == 0 else 2, {f"c{i % 5}": str(i)}, None) for k in ("a", "b", None) for i in range(1, 200)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert run(spark, rows) == run(spark, rows, cuts=True) == brute(rows)
+        assert places(spark, rows) == {"a": 199, "b": 199, None: 199}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_keys_of_any_type(spark):
+    nan, none = float("nan"), None
+    rows = [(nan, [1, None], 1, 1, {"x": 1}), (nan, [1, None], 2, 2, {"y": 2}), (none, none, 1, 2, none), (none, none, 2, 2, none), (1.0, [2], 1, 1, {"x": 1}), (1.0, [3], 1, 1, {"x": 3})]
+    df = spark.createDataFrame(rows, "f double, a array<int>, seq long, op int, image map<string,int>")
+    found = replay.replay(df, ["f", "a"], ["seq"], "op", "image", F.col("seq").cast("double")).collect()
+    assert sorted(repr(tuple(r)) for r in found) == sorted(map(repr, [(nan, [1, None], 2, {"x": 1, "y": 2}), (none, none, 2, {}), (1.0, [2], 1, {"x": 1}), (1.0, [3], 1, {"x": 3})]))

@@ -28,15 +28,17 @@ def _keyed(spark: SparkSession, sf: str) -> DataFrame:
     return _ordered(spark, sf).withColumn("pk_value", pk_value()).filter(F.col("pk_value").isNotNull())
 
 
+def _current(spark: SparkSession, sf: str) -> DataFrame:
+    return replay.replay(_keyed(spark, sf), ROW_KEY, ORDER, "mutation_type", "entity", order_hint(), full_image())
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    rows = replay.replay(_keyed(spark, sf), ROW_KEY, ORDER, "mutation_type", None, order_hint())
-    return rows.select(*ROW_KEY, F.col("change_id").alias("mutation_id"), F.col("row_pos").alias("event_row_position"))
+    return _current(spark, sf).select(*ROW_KEY, F.col("change_id").alias("mutation_id"), F.col("row_pos").alias("event_row_position"))
 
 
 def p1_table_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """Rows and image columns that live in each table at the end of the feed."""
-    rows = replay.replay(_keyed(spark, sf), ROW_KEY, ORDER, "mutation_type", "entity", order_hint(), full_image())
-    return rows.groupBy(*TABLE_KEY).agg(F.count("*").alias("row_count"), F.sum(F.size("entity")).cast("long").alias("value_count"))
+    return _current(spark, sf).groupBy(*TABLE_KEY).agg(F.count("*").alias("row_count"), F.sum(F.size("entity")).cast("long").alias("value_count"))
 
 
 def _identified(spark: SparkSession, sf: str) -> DataFrame:
