@@ -416,3 +416,53 @@ def test_server_metadata_from_tables(spark):
     assert server.uuid() == "U" and server.gtid_mode() and server.variable("none") is None
 
 
+def test_events_in_pieces_come_in_order_and_few_at_a_time():
+    import numpy as np
+    import pyarrow as pa
+
+    from tidelog.streaming import pieces
+
+    rng = np.random.default_rng(5)
+    n = 30_000
+    at = rng.permutation(n)
+    log = pa.table({"source_id": ["s"] * n, "offset": pa.array([None if o == n - 1 else int(o) for o in at]), "text": [f"{o:0200d}" for o in at]})
+    for order in (slice(None), np.argsort(at)):  # every piece reaches over all of the log; pieces one behind the other
+        spool = pieces.Spool(together=200_000)
+        put = [spool.put(r["first"], r["last"], r["size"], r["data"]) for b in pieces.into_pieces(log.take(np.arange(n)[order]).to_batches(max_chunksize=500)) for r in b.to_pylist()]
+        found = [*spool.ordered(put)]
+        assert [int(t) for f in found for t in f["text"].to_pylist()] == [*range(n)]
+        assert max(f.nbytes for f in found) < 600_000
+
+
+class _Kept:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_a_batch_is_walked_in_parts_with_the_same_context(log, monkeypatch):
+    import pyarrow as pa
+
+    from tidelog.streaming import context, pieces
+
+    lean = log.select(*[c for c in context._PASSED if c != "rows_json"], F.to_json("rows").alias("rows_json"), "database", "table_name", "gtid", "column_types").toArrow()
+
+    def walked(size, together):
+        p = context.ContextProcessor({"shop-log": []})
+        p.state = _Kept()
+        rows = pa.Table.from_batches(pieces.into_pieces(lean.to_batches(max_chunksize=size))).to_pandas()
+        monkeypatch.setattr(context, "Spool", lambda: pieces.Spool(together))
+        out = [*p.handleInputRows(("shop-log",), iter([rows.sample(frac=1.0, random_state=3)]), None)]
+        made = [r for b in context._out_of_pieces(pa.RecordBatch.from_pandas(o) for o in out) for r in b.to_pylist()]
+        return len(out), made, p.state.value
+
+    one, parts = walked(2000, 1 << 30), walked(97, 20_000)
+    assert one[0] == 1 and parts[0] > 5
+    assert one[1:] == parts[1:] and len(one[1]) == 1200

@@ -31,6 +31,12 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
     return log_from_events(table(spark, sf, "events"))
 
 
+def _log_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same log as a stream, made of the table's files as they are read."""
+    events = table(spark, sf, "events")
+    return log_from_events(spark.readStream.schema(events.schema).parquet(f"{sf}/event[s].parquet"))  # a pattern, as the table may be one file
+
+
 def _mutations(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "mutations")
 
@@ -323,18 +329,19 @@ def o80_streamed_mutations(spark: SparkSession, sf: str) -> DataFrame:
 def o27_streamed_columns(spark: SparkSession, sf: str) -> DataFrame:
     """The log with statements that rename a column of one table to and fro: names of the columns in force at each row event."""
     folder = shared_folder(spark, "columns")
+    log = _log_stream(spark, sf)
     txn = F.shiftright("offset", 32)  # the file's number
     renamed = F.when((txn + F.floor(F.col("position") / 700)) % 2 == 0, "ALTER TABLE shop.users CHANGE event_type kind varchar(20)").otherwise("ALTER TABLE shop.users CHANGE kind event_type varchar(20)")
-    _log(spark, sf).withColumn("sql", F.when(F.col("sql") == "BEGIN", F.col("sql")).otherwise(F.when(F.col("sql").isNotNull(), renamed))).withColumn("gtid", F.lit(None).cast("string")).write.parquet(f"{folder}/log")
+    log = log.withColumn("sql", F.when(F.col("sql") == "BEGIN", F.col("sql")).otherwise(F.when(F.col("sql").isNotNull(), renamed))).withColumn("gtid", F.lit(None).cast("string"))
     tracker = store.SchemaTracker()
     tracker.bootstrap(ddl.Catalog({"shop": {t.split(":")[1]: [ddl.Column("user_id", "bigint", "bigint", True), ddl.Column("event_type", "varchar", "varchar(20)"), ddl.Column("value", "double", "double")] for t in TABLES}}), ":4:4")
-    context = stream_context(spark.readStream.schema(BINLOG_EVENTS.replace("\n", " ")).parquet(f"{folder}/log"), {"shop-log": tracker.rows})
+    context = stream_context(log, {"shop-log": tracker.rows}, spread=True).select("offset", "resolved_table", "columns_json").filter("columns_json is not null")
 
     def run() -> None:
         context.writeStream.format("parquet").option("path", f"{folder}/context").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
     _rocksdb(spark, run)
-    found = spark.read.schema(context.schema).parquet(f"{folder}/context").filter("columns_json is not null")
+    found = spark.read.schema(context.schema).parquet(f"{folder}/context")
     names = F.transform(F.from_json("columns_json", "array<struct<name:string>>"), lambda c: c["name"])
     return found.select("offset", "resolved_table", F.array_join(names, ",").alias("names"))
 
