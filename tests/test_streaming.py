@@ -99,6 +99,18 @@ def test_destination_publishes_and_remembers(spark):
     assert d.last_published == {0: 3, 2: 5} and d.checkpoint_offset() == 3 and d.counts == {"publish.success": 3, "send.failure": 0, "out.of.order": 1}
 
 
+def test_a_batch_that_is_not_kept_is_published_in_one_look(spark):
+    kept, looks = [], spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda o: (looks.add(1), o)[1], "long").asNondeterministic()
+    rows = batch(spark, (1, 1, "4", "s"), (5, 2, "6", "s"), (3, 3, "4", "s")).coalesce(1)
+    d = sink.Destination(sink.memory_sink(kept), lambda df: df.select("offset"), keep=False)
+    d.send(rows.limit(0), 0)
+    assert kept == [] and d.last_mutation is None
+    d.send(rows.withColumn("offset", seen("offset")), 1)
+    assert sorted(r.offset for r in kept[0][1]) == [1, 3, 5] and looks.value <= 6  # once, and once whether there are any
+    assert d.checkpoint_offset() == 5 and d.last_mutation == {"ts_ms": 2, "offset": 5} and d.counts == {"publish.success": 3, "send.failure": 0}
+
+
 def test_errors_are_told_once_and_raised(spark):
     heard = []
 

@@ -17,8 +17,8 @@ from tidelog.session import shared_folder
 from tidelog.sources import metadata
 from tidelog.sources.log import COLUMNS, SERVER, TABLES, decoded, log_from_events, start_condition
 from tidelog.streaming import pipe, sink
-from tidelog.streaming.context import stream_context
-from tidelog.streaming.mutations import TableColumns, mutation_stream
+from tidelog.streaming.context import packed_context, stream_context, unpacked
+from tidelog.streaming.mutations import TableColumns, mutations_of
 from tidelog.streaming.sink import wire_records
 
 SUBSCRIBED = ["shop:users", "shop:carts"]
@@ -304,17 +304,19 @@ def _rocksdb(spark: SparkSession, run: Callable[[], None]) -> None:
 def o80_streamed_mutations(spark: SparkSession, sf: str) -> DataFrame:
     """The log as a stream through a pipe: context in state, subscribed tables beyond a saved state, mutations into files; then read."""
     folder = shared_folder(spark, "streamed")
-    _log(spark, sf).write.parquet(f"{folder}/log")
     saved = state.SourceState(last_offset=LAST_OFFSET)
+    tables = {t: TableColumns(COLUMNS, ("user_id",)) for t in SUBSCRIBED}
 
     def build(session: SparkSession, _: state.SourceState) -> DataFrame:
-        events = session.readStream.schema(BINLOG_EVENTS.replace("\n", " ")).parquet(f"{folder}/log")
-        return mutation_stream(events, {t: TableColumns(COLUMNS, ("user_id",)) for t in SUBSCRIBED}, saved)
+        return packed_context(_log_stream(session, sf))
 
-    made = build(spark, saved).schema
+    def transform(context: DataFrame, _: int) -> DataFrame:
+        return mutations_of(unpacked(context, spread=True), tables, saved)
+
+    made = transform(build(spark, saved), 0).schema
 
     def run() -> None:
-        p = pipe.Pipe("o80", build, sink.Destination(sink.file_sink(f"{folder}/mutations")), f"{folder}/checkpoint", {"availableNow": True})
+        p = pipe.Pipe("o80", build, sink.Destination(sink.file_sink(f"{folder}/mutations"), keep=False), f"{folder}/checkpoint", {"availableNow": True}, transform=transform)
         p.open(spark)
         p.query.awaitTermination()
         p.close()

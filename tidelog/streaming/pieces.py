@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 #: A piece: its source, its lowest and highest offset, bytes of its events in memory, and the events as a compressed Arrow stream.
 PIECES = "source_id string, first bigint, last bigint, size bigint, data binary"
 #: Bytes of events, as they are in memory, that are looked at together; bytes of pieces from which on they wait on disk.
-TOGETHER, IN_MEMORY = 16 << 20, 32 << 20
+TOGETHER, IN_MEMORY = 6 << 20, 32 << 20
 #: Parts that overlapping pieces are cut into at once, at most.
 _PARTS = 32
 _LAST = np.iinfo(np.int64).max

@@ -21,7 +21,7 @@ from tidelog.operators.state import Checkpointer, Repository, SourceState
 from tidelog.operators.validate import schema_violations
 from tidelog.schema import ddl
 from tidelog.schema.store import SchemaStore, SchemaTracker
-from tidelog.streaming.context import schema_rows, stream_context
+from tidelog.streaming.context import packed_context, schema_rows, unpacked
 from tidelog.streaming.mutations import TableColumns, as_wire, mutations_of
 from tidelog.streaming.sink import BufferedDestination, Check, Destination, DestinationPool, OrderCheck, Publish, build_destination, file_sink, kafka_sink, wire_records
 
@@ -237,9 +237,10 @@ def pipe_of(spark: SparkSession, config: Config, source: SourceConfig, events: C
     tables = source.tables if versioned else (columns or {})
 
     def build(session: SparkSession, state: SourceState) -> DataFrame:
-        return stream_context(events(session, source, starting_position(state, source)), schema_history(session, config, source, root, state, live))
+        return packed_context(events(session, source, starting_position(state, source)), schema_history(session, config, source, root, state, live))
 
-    def transform(context: DataFrame, batch_id: int) -> DataFrame:
+    def transform(pieces: DataFrame, batch_id: int) -> DataFrame:
+        context = unpacked(pieces)
         if versioned:
             schema_store(spark, config, source, root).append_new(schema_rows(context).drop("source_id"))
         return mutations_of(context, tables, states.state(), leader_epoch)

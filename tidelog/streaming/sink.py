@@ -11,7 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.errors import DestinationError
@@ -122,6 +122,8 @@ class Destination:
     validators: by name, checks (Validators, or functions from a batch to its offending rows), counted under their name.
     delay_ms: a batch waits until its latest mutation is that old. pool_size: rows are spread over members by key, in order.
     counts: of published and failed rows, and of failures by their kind (send.failure.<kind>).
+    keep: whether a batch is kept while it is sent; False where what it is made from is kept (a pipe with a transformation keeps its pieces)
+    and making its rows again takes less room than they do.
     """
 
     publish: Publish
@@ -140,6 +142,7 @@ class Destination:
     last_mutation: dict | None = None
     counts: dict[str, int] = field(default_factory=lambda: {"publish.success": 0, "send.failure": 0})
     started: bool = False
+    keep: bool = True
 
     def open(self) -> None:
         """Start: validators forget what they have seen. Opening twice does nothing."""
@@ -156,12 +159,21 @@ class Destination:
         self.started = False
 
     def send(self, batch: DataFrame, batch_id: int) -> None:
-        """Publish one batch; an empty one is nothing. Raises DestinationError. The batch is computed once, whatever looks at it."""
-        sent = (to_pool(batch, self.key, self.pool_size, list(self.order)) if self.pool_size else batch.withColumn("member", F.lit(0))).persist(StorageLevel.MEMORY_AND_DISK)
+        """Publish one batch; an empty one is nothing. Raises DestinationError. The batch is computed once, whatever looks at it, if it is kept."""
+        sent = to_pool(batch, self.key, self.pool_size, list(self.order)) if self.pool_size else batch.withColumn("member", F.lit(0))
+        if self.keep:
+            sent.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             header = [c for c in (self.timestamp, self.offset, "binlog_pos", "last_txn", "server_uuid", "gtid_set") if c in batch.columns]
             latest = F.max_by(F.struct(*header), F.col(self.offset)).alias("latest")
-            stats = sent.groupBy("member").agg(F.max(self.offset).alias("offset"), F.max(self.timestamp).alias("ts"), F.count("*").alias("n"), latest).collect()  # one row a member
+            figures = [F.max(self.offset).alias("offset"), F.max(self.timestamp).alias("ts"), F.count("*").alias("n"), latest]
+            if not self.keep and not (self.pool_size or self.delay_ms or self.validators or self.on_send):  # one look at the batch will do
+                if not batch.isEmpty():
+                    seen = Observation()
+                    self.publish(self.mapper(batch.observe(seen, *figures)), batch_id)
+                    self._published([Row(member=0, **seen.get)])
+                return
+            stats = sent.groupBy("member").agg(*figures).collect()  # one row a member
             if not stats:
                 return
             checked = sent.drop("member")
@@ -170,10 +182,7 @@ class Destination:
                 self.counts[name] = self.counts.get(name, 0) + offending.count()
             self._wait(max((r.ts for r in stats if r.ts is not None), default=0))
             self.publish(self.mapper(checked), batch_id)
-            for r in stats:
-                self.last_published[r.member] = max(r.offset, self.last_published.get(r.member, r.offset))
-            self.last_mutation = max((r.latest.asDict(recursive=True) for r in stats), key=lambda m: m[self.offset])
-            self.counts["publish.success"] += sum(r.n for r in stats)
+            self._published(stats)
             for listener in self.on_send:
                 listener(checked)
         except Exception as e:
@@ -184,7 +193,14 @@ class Destination:
                 heard(e)
             raise DestinationError(str(e)) from e
         finally:
-            sent.unpersist()
+            if self.keep:
+                sent.unpersist()
+
+    def _published(self, stats: list[Row]) -> None:
+        for r in stats:
+            self.last_published[r.member] = max(r.offset, self.last_published.get(r.member, r.offset))
+        self.last_mutation = max((r.latest.asDict(recursive=True) for r in stats), key=lambda m: m[self.offset])
+        self.counts["publish.success"] += sum(r.n for r in stats)
 
     def _wait(self, latest_ms: int) -> None:
         left = latest_ms + self.delay_ms - time.time() * 1000 if self.delay_ms else 0
